@@ -7,20 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import quality
+from terrafold.llm import idfile, packing, quality
+
+
+#: End ids of the two packed formats and the vocabulary that the binary format has to hold.
+PACK_END, FILE_END, BYTE_VOCABULARY = 0, 2, 50_257
+
+
+def tokenizer(name: str) -> str:
+    """A public tokenizer's file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=PACK_END)
+
+
+def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = idfile.write(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), FILE_END, BYTE_VOCABULARY)
+    return idfile.read(spark, shards)
+
+
 def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op9_host_quality": op9_host_quality,
+    "op10_id_files": op10_id_files,
 }
 
 _W = r"[^\x20\x09-\x0D]+"
