@@ -112,9 +112,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split:
     return materialize(rows.mapInArrow(run, "batch long, part int, payload binary"), "packed")
 
 
-def buckets_for(packed: DataFrame, bytes_each: int = 3 << 20, least: int = 48) -> int:
-    """How many buckets of the key space keep a bucket's task small: in proportion to the packed bytes."""
-    return max(least, min(1 << 20, plan_bytes(packed) // bytes_each + 1))
+def buckets_for(packed: DataFrame, least: int = 64) -> int:
+    """How many buckets of the key space: in proportion to the packed bytes, each bucket's keys within one task's memory."""
+    total = plan_bytes(packed)
+    return max(least, total // min(16 << 20, max(3 << 20, total // 1000)) + 1)
 
 
 def by_bucket(keys: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:

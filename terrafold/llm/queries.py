@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import idfile, packing, quality
+from terrafold.llm import idfile, lm, packing, quality
 
 
 #: End ids of the two packed formats and the vocabulary that the binary format has to hold.
@@ -25,6 +25,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=PACK_END)
 
@@ -40,6 +44,7 @@ def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_deleted_interpolation": op2_deleted_interpolation,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op9_host_quality": op9_host_quality,
     "op10_id_files": op10_id_files,
