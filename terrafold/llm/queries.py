@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import idfile, lm, packing, quality
+from terrafold.llm import idfile, lm, packing, quality, substrings
 
 
 #: End ids of the two packed formats and the vocabulary that the binary format has to hold.
@@ -25,6 +25,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"))
 
@@ -44,6 +49,7 @@ def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_recompression": op1_recompression,
     "op2_deleted_interpolation": op2_deleted_interpolation,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op9_host_quality": op9_host_quality,
