@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import idfile, lm, packing, quality, substrings
+from terrafold.llm import idfile, lm, neardup, packing, quality, substrings
 
 
 #: End ids of the two packed formats and the vocabulary that the binary format has to hold.
@@ -43,6 +43,10 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.read(spark, shards)
 
 
+def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(_table(spark, sf_dir, "documents"))
+
+
 def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_recompression": op1_recompression,
     "op2_deleted_interpolation": op2_deleted_interpolation,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op6_setsketch": op6_setsketch,
     "op9_host_quality": op9_host_quality,
     "op10_id_files": op10_id_files,
 }
