@@ -150,10 +150,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, id_col:
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(f"{part}.{ctx.taskAttemptId()}")
                     out.write(MAGIC)
-                body = ids if width == 4 else np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes()
-                out.write(body + end)
+                out.write(ids.astype(f"<u{width}").tobytes() + end)
                 keys.append(NO_ID if key is None else key)
-                sizes.append(len(ids) // 4 + 1)
+                sizes.append(len(ids) + 1)
         if out is None:
             return
         out.write(index_bytes(np.array(keys, dtype=np.int64), np.array(sizes, dtype=np.int64), width))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from terrafold.llm.batches import NO_ID
 from terrafold.llm.links import components
-from terrafold.llm.words import LOWER, combine, find_words, hash_words, join_texts, mix
+from terrafold.llm.words import LOWER, combine, distinct, find_words, hash_words, join_texts, mix
 from terrafold.session import materialize, ship
 
 _U = np.uint64
@@ -57,7 +57,7 @@ def shingle_sets(texts: list[bytes | None], shingle: int) -> list[np.ndarray]:
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= shingle:
-            out.append(np.unique(grams[a : b - shingle + 1]))
+            out.append(distinct(grams[a : b - shingle + 1]))
         elif b > a:
             whole = h[a:b].copy()
             for k in range(1, b - a):

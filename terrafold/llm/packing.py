@@ -35,11 +35,10 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, n = encoder(tokenizer, True), TaskContext.get().partitionId() << 33
-        end = np.array([end_id], dtype="<u4").tobytes()
         for rb in frames:
             rows: list[tuple] = []
             for key, ids in zip(rb.column(0).to_pylist(), enc.encode(rb.column(1).to_pylist()), strict=True):
-                ids += end
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes()
                 for k, at in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[at : at + 4 * length]
                     n += 1

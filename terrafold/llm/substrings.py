@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.llm.batches import NO_ID, buckets_for, by_bucket, load_batch, pack, pack_ints, unpack_ints
-from terrafold.llm.words import combine, find_words, hash_words, join_texts, mix
+from terrafold.llm.words import combine, distinct, find_words, hash_words, join_texts, mix
 from terrafold.session import materialize
 
 _U = np.uint64
@@ -211,7 +211,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
 
     def candidates(payload: bytes, answers: dict[int, bytes]) -> tuple[Parsed, np.ndarray]:
         p = Parsed(payload, window)
-        keys = np.unique(p.anchor)
+        keys = distinct(p.anchor)
         shared = [np.unpackbits(np.frombuffer(answers[b], np.uint8), count=s.stop - s.start) for b, s in by_bucket(keys, buckets)]
         hit = np.concatenate(shared).astype(bool) if shared else np.zeros(0, dtype=bool)
         return p, np.flatnonzero(hit[np.searchsorted(keys, p.anchor)]) if len(keys) else np.zeros(0, dtype=np.int64)

@@ -2,8 +2,9 @@
 
 Both kinds of file split a text before they merge bytes, and no merge crosses the split. A unit is what
 surely lies between splits: a word for files that drop white space, a run of white space with the word
-after it for byte-level files. Units repeat, so a bounded cache answers most of them. A text for which a
-unit could differ from its context (white space beyond ASCII next to a unit's edge) is encoded as a whole.
+after it for byte-level files. Units are found, hashed (twice 64 bits) and made distinct on arrays; a bounded
+cache of sorted hashes has the ids of units seen before, and the library encodes the others. A text for which
+a unit could differ from its context (white space beyond ASCII next to a unit's edge) is encoded as a whole.
 Special tokens' strings in a text are ordinary text.
 """
 
@@ -15,14 +16,27 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CACHE_UNITS, LONG_UNIT, SLICE_BYTES = 250_000, 96, 2 << 20
-_UNIT = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
+from terrafold.llm.words import find_words, hash_words, join_texts
+
+CACHE_UNITS, SLICE_BYTES = 1_500_000, 4 << 20
 #: UTF-8 of white space beyond ASCII, and of the ASCII separators 1C-1F.
 _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
+#: Units of Latin letters and at most one mark; many go to the library as one text, since their ids can be told apart.
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
+_WORD, _SPACED = re.compile(_LETTERS + "([.,]?)"), re.compile(" " + _LETTERS + "[.,]?")
+GROUP = 256
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for size[0] numbers, then the same for the next."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
 class Encoder:
-    """ids of texts as little-endian unsigned 32-bit bytes."""
+    """ids of texts as unsigned 32-bit arrays."""
 
     def __init__(self, path: str, drops_space: bool) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -31,53 +45,142 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.drops_space = drops_space
-        self.cache: dict[bytes, bytes] = {}
+        self.clock = 0
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.edge[[i for t, i in vocabulary.items() if (t.endswith("</w>") if drops_space else t.startswith("\u0120"))]] = True
+        self._keep(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int32))
+
+    def _keep(self, key: np.ndarray, check: np.ndarray, size: np.ndarray, ids: np.ndarray, used: np.ndarray) -> None:
+        self.key, self.check, self.size, self.ids, self.used = key, check, size, ids, used
+        self.start = np.cumsum(size) - size
 
-    def _ids(self, units: list[bytes]) -> list[bytes]:
+    def _select(self, rows: np.ndarray) -> None:
+        ids = self.ids[_ranges(self.start[rows], self.size[rows])]
+        self._keep(self.key[rows], self.check[rows], self.size[rows], ids, self.used[rows])
+
+    def _encode(self, units: list[bytes]) -> list[list[int]]:
         got = self.tokenizer.encode_batch_fast([u.decode("utf-8", "replace") for u in units], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
-
-    def _slice(self, texts: list[bytes | None]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        split: list[tuple[int, list[bytes]]] = []
-        whole: list[int] = []
-        for i, t in enumerate(texts):
-            if not t:
-                out[i] = b""
-            elif self.drops_space:
-                split.append((i, t.split()))
-            elif _OTHER_SPACE.search(t):
-                whole.append(i)
-            else:
-                split.append((i, _UNIT.findall(t)))
-        if whole:
-            for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-                out[i] = ids
-        need: set[bytes] = set()
-        for _, units in split:
-            need.update(units)
-        if len(self.cache) + len(need) > CACHE_UNITS:
-            self.cache.clear()
-        new = [u for u in need if u not in self.cache]
-        known = dict(zip(new, self._ids(new), strict=True)) if new else {}
-        self.cache.update((u, ids) for u, ids in known.items() if len(u) <= LONG_UNIT)
-        long = {u: ids for u, ids in known.items() if len(u) > LONG_UNIT}
-        at = {**self.cache, **long}.__getitem__ if long else self.cache.__getitem__
-        for i, units in split:
-            out[i] = b"".join(map(at, units))
-        return out
-
-    def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        return [e.ids for e in got]
+
+    def _plain(self, group: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Sizes and ids of units encoded as one text. A word's last id ends a word, a spaced unit's first id has the space."""
+        ids = np.array(self.tokenizer.encode((" " if self.drops_space else "").join(group), add_special_tokens=False).ids, dtype=np.uint32)
+        mark = np.flatnonzero(self.edge[ids])
+        if self.drops_space:
+            splits = np.cumsum([2 if u[-1] in ".," else 1 for u in group])
+            if len(mark) != splits[-1] or mark[-1] != len(ids) - 1:
+                return None
+            return np.diff(mark[splits - 1] + 1, prepend=0), ids
+        if len(mark) != len(group) or mark[0]:
+            return None
+        return np.diff(np.append(mark, len(ids))), ids
+
+    def _units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids, one after the other, of all units."""
+        texts = [u.decode("utf-8", "replace") for u in units]
+        match = (_WORD if self.drops_space else _SPACED).fullmatch
+        easy = np.array([match(t) is not None for t in texts])
+        order, sizes, ids = [], [], []
+        rest = np.flatnonzero(~easy).tolist()
+        plain = np.flatnonzero(easy).tolist()
+        for k in range(0, len(plain), GROUP):
+            group = plain[k : k + GROUP]
+            got = self._plain([texts[i] for i in group])
+            if got is None:
+                rest += group
+                continue
+            order += group
+            sizes.append(got[0])
+            ids.append(got[1])
+        if rest:
+            new = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)]
+            order += rest
+            sizes.append(np.array([len(x) for x in new], dtype=np.int64))
+            ids.append(np.fromiter((i for x in new for i in x), dtype=np.uint32, count=int(sizes[-1].sum())))
+        size, flat = np.concatenate(sizes), np.concatenate(ids)
+        back = np.argsort(np.array(order), kind="stable")
+        return size[back], flat[_ranges((np.cumsum(size) - size)[back], size[back])]
+
+    def _add(self, key: np.ndarray, check: np.ndarray, units: list[bytes]) -> None:
+        """key is sorted and none of it is in the cache."""
+        if len(self.key) + len(key) > CACHE_UNITS and len(self.key):
+            recent = np.argsort(-self.used, kind="stable")[: CACHE_UNITS // 2]
+            self._select(np.sort(recent))
+        sizes, flat = self._units(units)
+        order = np.argsort(np.concatenate([self.key, key]), kind="stable")
+        size = np.concatenate([self.size, sizes])
+        start = np.concatenate([self.start, np.cumsum(sizes) - sizes + len(self.ids)])
+        ids = np.concatenate([self.ids, flat])[_ranges(start[order], size[order])]
+        used = np.concatenate([self.used, np.full(len(key), self.clock, np.int32)])
+        self._keep(np.concatenate([self.key, key])[order], np.concatenate([self.check, check])[order], size[order], ids, used[order])
+
+    def _slice(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        self.clock += 1
+        data, at = join_texts(texts)
+        starts, ends, first = find_words(data, at)
+        if not self.drops_space:
+            # a unit begins where the word before ends; what follows the last word is one too
+            n = np.diff(first)
+            starts = np.concatenate([[0], ends[:-1]]) if len(ends) else starts
+            starts[first[:-1][n > 0]] = at[:-1][n > 0]
+            last = at[:-1].copy()
+            last[n > 0] = ends[first[1:][n > 0] - 1]
+            tail = np.flatnonzero(last < at[1:] - 1)
+            starts = np.insert(starts, first[1:][tail], last[tail])
+            ends = np.insert(ends, first[1:][tail], at[1:][tail] - 1)
+            first = first + np.concatenate([[0], np.cumsum(np.bincount(tail, minlength=len(texts)))])
+        hashes, checks = hash_words(data, starts, ends), hash_words(data, starts, ends, 0x7F4A7C15)
+        keys, one, where = np.unique(hashes, return_index=True, return_inverse=True)
+        if not np.array_equal(checks[one][where], checks):  # two units of one hash: take the long way
+            return [np.array(x, dtype=np.uint32) for x in self._encode([t or b"" for t in texts])]
+        spot = np.searchsorted(self.key, keys).clip(0, max(len(self.key) - 1, 0))
+        same = self.key[spot] == keys if len(self.key) else np.zeros(len(keys), dtype=bool)
+        known = same.copy()
+        known[same] = self.check[spot[same]] == checks[one[same]]
+        self.used[spot[known]] = self.clock
+        if not known.all():
+            raw = data.tobytes()
+            new = one[~known]
+            clash = same & ~known
+            if clash.any():  # another unit of the same hash has to go
+                stay = np.ones(len(self.key), dtype=bool)
+                stay[spot[clash]] = False
+                self._select(np.flatnonzero(stay))
+            self._add(keys[~known], checks[new], [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            spot = np.searchsorted(self.key, keys).clip(0, max(len(self.key) - 1, 0))
+            if not np.array_equal(self.key[spot], keys):  # the cache was cut and lost some of these
+                return self._slice(texts)
+        size = self.size[spot][where]
+        ids = self.ids[_ranges(self.start[spot][where], size)]
+        edge = np.concatenate([[0], np.cumsum(size)])[first]
+        return [ids[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+
+    def encode(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
         """In order, by slices of bounded bytes."""
-        held, size = [], 0
+        held: list[bytes | None] = []
+        whole: dict[int, bytes] = {}
+        size = 0
+
+        def flush() -> Iterator[np.ndarray]:
+            got = self._slice(held)
+            if whole:
+                for i, ids in zip(whole, self._encode(list(whole.values())), strict=True):
+                    got[i] = np.array(ids, dtype=np.uint32)
+            yield from got
+
         for t in texts:
-            held.append(t)
+            if t and not self.drops_space and _OTHER_SPACE.search(t):
+                whole[len(held)] = t
+                held.append(None)
+            else:
+                held.append(t)
             size += len(t) if t else 0
             if size >= SLICE_BYTES:
-                yield from self._slice(held)
-                held, size = [], 0
+                yield from flush()
+                held, whole, size = [], {}, 0
         if held:
-            yield from self._slice(held)
+            yield from flush()
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}

@@ -64,3 +64,9 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
             live = live[left > 8]
         at, left = at[left > 8] + 8, left[left > 8] - 8
     return out
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; numpy's own goes through a hash table, which is slow for many large values."""
+    s = np.sort(x)
+    return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
