@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import idfile, lm, neardup, packing, quality, substrings
+from terrafold.llm import idfile, lm, neardup, packing, quality, substrings, urls, vectors
 
 
 #: End ids of the two packed formats and the vocabulary that the binary format has to hold.
@@ -43,10 +43,18 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.read(spark, shards)
 
 
+def op5_pigeonhole_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.classes(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_table(spark, sf_dir, "documents"))
 
 
+def op8_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
 def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -56,13 +64,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_recompression": op1_recompression,
     "op2_deleted_interpolation": op2_deleted_interpolation,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_pigeonhole_join": op5_pigeonhole_join,
     "op6_setsketch": op6_setsketch,
+    "op8_bloom_cascade": op8_bloom_cascade,
     "op9_host_quality": op9_host_quality,
     "op10_id_files": op10_id_files,
 }
 
 _W = r"[^\x20\x09-\x0D]+"
 ORACLES: dict[str, str] = {
+    "op8_bloom_cascade": r"""
+WITH a AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+r AS (SELECT *, CASE
+  WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+  WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+  WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM u)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r""",
     "op9_host_quality": rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 tok AS (SELECT doc_id, unnest(regexp_extract_all(t, '{_W}')) AS w, generate_subscripts(regexp_extract_all(t, '{_W}'), 1) AS i FROM d),
