@@ -32,7 +32,7 @@ from terrafold.llm.words import mix
 from terrafold.session import fresh_path, plan_bytes, ship
 
 MAGIC = b"TFIDS001"
-PER_BUCKET, SHARD_BYTES = 4, 8 << 20
+PER_BUCKET, TRIES, SHARD_BYTES = 4, 16, 8 << 20
 _U = np.uint64
 
 
@@ -62,10 +62,12 @@ class PerfectHash:
                 own = b[order[edge[k] : edge[k + 1]]]
                 if len(own) < 2:
                     break
-                for d in range(1 << 20):
-                    at = (mix(own + _U(d)) % _U(n)).astype(np.int64)
-                    if not taken[at].any() and len(set(at.tolist())) == len(at):
-                        taken[at], disp[k] = True, d
+                for d in range(0, 1 << 20, TRIES):
+                    at = np.sort((mix(own[None, :] + np.arange(d, d + TRIES, dtype=_U)[:, None]) % _U(n)).astype(np.int64), axis=1)
+                    fits = ~(taken[at].any(axis=1) | (at[:, 1:] == at[:, :-1]).any(axis=1))
+                    if fits.any():
+                        hit = int(fits.argmax())
+                        taken[at[hit]], disp[k] = True, d + hit
                         break
                 else:
                     break
