@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import idfile, lm, neardup, packing, quality, substrings, urls, vectors
+from terrafold.llm import idfile, lm, mainhtml, neardup, packing, pieces, quality, substrings, urls, vectors
 
 
 #: End ids of the two packed formats and the vocabulary that the binary format has to hold.
@@ -43,6 +43,10 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.read(spark, shards)
 
 
+def op4_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainhtml.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_pigeonhole_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.classes(_table(spark, sf_dir, "embeddings"))
 
@@ -51,6 +55,10 @@ def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_table(spark, sf_dir, "documents"))
 
 
+def op7_lattice_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op8_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
@@ -64,8 +72,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_recompression": op1_recompression,
     "op2_deleted_interpolation": op2_deleted_interpolation,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_tree_scoring": op4_tree_scoring,
     "op5_pigeonhole_join": op5_pigeonhole_join,
     "op6_setsketch": op6_setsketch,
+    "op7_lattice_sampling": op7_lattice_sampling,
     "op8_bloom_cascade": op8_bloom_cascade,
     "op9_host_quality": op9_host_quality,
     "op10_id_files": op10_id_files,
