@@ -248,7 +248,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
-    """The documents that represent their component, with their own columns; rows with equal ids stay together."""
-    kept = classes(docs, id_col, text_col, shingle, percent).where("kept").select(F.col("doc_id").alias("__nd_id")).distinct()
-    kept = materialize(kept, "kept")
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__nd_id")), "left_semi")
+    """The documents that represent their component, with their own columns; rows with equal ids stay or go together."""
+    judged = classes(docs, id_col, text_col, shingle, percent).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = materialize(judged.where("NOT kept").select(F.col("doc_id").alias("__nd_id")), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__nd_id")), "left_anti")

@@ -189,8 +189,11 @@ def _earliest(table: pa.Table) -> pa.Table:
     return _answers(out, 2)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Rows (doc_id, n_words, n_removed, text): text has the kept words, joined by one space."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, whole: bool = False) -> DataFrame:
+    """Rows (doc_id, n_words, n_removed, text): text has the kept words, joined by one space.
+
+    whole: a text that loses no word is returned as it is.
+    """
     packed = pack(docs, id_col, text_col)
     buckets = buckets_for(packed)
 
@@ -241,6 +244,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         removed = np.add.reduceat(np.append(covered, False).astype(np.int64), p.first[:-1]) * (p.words > 0) if len(p.ids) else np.zeros(0, np.int64)
         out = []
         for i, t in enumerate(p.texts):
+            if whole and not removed[i]:
+                out.append(t)
+                continue
             words = t.split() if t else []
             if removed[i]:
                 words = [w for w, c in zip(words, covered[p.first[i] : p.first[i + 1]].tolist(), strict=True) if not c]
@@ -257,8 +263,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
 
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """The documents with repeated words removed: texts that lose none stay as they are."""
+    """The documents with repeated words removed; a text that loses none stays as it is.
+
+    The other columns join by id, so of rows with equal ids all get the first one's.
+    """
     names = docs.columns
-    got = dedup(docs, id_col, text_col, window).where("n_removed > 0").select(F.col("doc_id").alias("__sub_id"), F.col("text").alias("__sub_text")).dropDuplicates(["__sub_id"])
-    out = docs.join(got, F.col(id_col).cast("long").eqNullSafe(F.col("__sub_id")), "left")
-    return out.select(*(F.coalesce(F.col("__sub_text"), F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in names))
+    got = dedup(docs, id_col, text_col, window, whole=True).select(F.col("doc_id").alias("__sub_id"), F.col("text").alias("__sub_text"))
+    others = [F.col(f"`{c}`").alias(f"__sub_{k}") for k, c in enumerate(names) if c != text_col]
+    rest = docs.select(F.col(f"`{id_col}`").cast("long").alias("__sub_key"), *others).dropDuplicates(["__sub_key"])
+    out = got.join(rest, F.col("__sub_id").eqNullSafe(F.col("__sub_key")))
+    return out.select(*(F.col("__sub_text" if c == text_col else f"__sub_{k}").alias(c) for k, c in enumerate(names)))
