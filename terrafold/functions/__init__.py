@@ -1 +1 @@
-"""Functions of the spatial library."""
+"""Functions of the spatial library: columns (DataFrame API) and registry (SQL)."""

@@ -12,13 +12,22 @@ LENGTH = 12
 _SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
 
 
+def _let(value: Column, fn) -> Column:
+    """fn(value) with value computed once: keeps nested expressions of linear size."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def _spread(v: Column) -> Column:
     """A zero bit before each bit."""
     for shift, mask in _SPREAD:
-        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        v = _let(v, _open(shift, mask))
     return v
 
 
+def _open(shift: int, mask: int):
+    return lambda x: x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+
+
 def encode(x: Column, y: Column) -> Column:
     """Twelve characters for longitude x and latitude y; an error outside +-180 and +-90, null for null."""
     cell = lambda v, span: F.least(F.floor((v / span + 0.5) * (1 << 30)).cast("long"), F.lit((1 << 30) - 1))
@@ -28,15 +37,38 @@ def encode(x: Column, y: Column) -> Column:
     return F.when(x.isNull() | y.isNull(), F.lit(None).cast("string")).when(bad, F.raise_error(F.lit("coordinates are outside the GeoHash range")).cast("string")).otherwise(text)
 
 
+def _compact(v: Column) -> Column:
+    """Every second bit, the lowest first: _spread backwards."""
+    v = v.bitwiseAND(F.lit(_SPREAD[-1][1]))
+    for (shift, _), mask in zip(_SPREAD[::-1], [m for _, m in _SPREAD[-2::-1]] + [0x00000000FFFFFFFF], strict=True):
+        v = _let(v, _fold(shift, mask))
+    return v
+
+
+def _fold(shift: int, mask: int):
+    return lambda x: x.bitwiseOR(F.shiftright(x, shift)).bitwiseAND(F.lit(mask))
+
+
 def decode_box(h: Column) -> Column:
     """struct(xmin, ymin, xmax, ymax) of the cell; an error for characters outside the alphabet or over 12 of them."""
-    bits = F.lpad(F.conv(F.translate(h, ALPHABET, DIGITS), 32, 2), F.length(h) * 5, "0")
+    return _let(h, _decode)
+
+
+def _decode(h: Column) -> Column:
     n = F.length(h) * 5
-    pick = lambda first: F.coalesce(F.conv(F.array_join(F.transform(F.sequence(F.lit(first), n, F.lit(2)), lambda i: F.substring(bits, i, F.lit(1))), ""), 2, 10).cast("double"), F.lit(0.0))
-    nx, ny = F.floor((n + 1) / 2).cast("double"), F.floor(n / 2).cast("double")
-    wx, wy = F.lit(360.0) / F.pow(F.lit(2.0), nx), F.lit(180.0) / F.pow(F.lit(2.0), ny)
-    x, y = pick(1) * wx - 180, pick(2) * wy - 90
-    box = F.struct(x.alias("xmin"), y.alias("ymin"), (x + wx).alias("xmax"), (y + wy).alias("ymax"))
+    wx, wy = F.lit(360.0) / F.pow(F.lit(2.0), F.floor((n + 1) / 2).cast("double")), F.lit(180.0) / F.pow(F.lit(2.0), F.floor(n / 2).cast("double"))
+
+    def cell(v: Column) -> Column:
+        # with an odd number of bits the lowest one is a longitude's
+        up = F.shiftright(v, 1)
+        lon, lat = F.when(n % 2 == 0, up).otherwise(v), F.when(n % 2 == 0, v).otherwise(up)
+        x, y = _compact(lon).cast("double"), _compact(lat).cast("double")
+        return _let(
+            F.struct((x * wx - 180).alias("x"), (y * wy - 90).alias("y")),
+            lambda c: F.struct(c["x"].alias("xmin"), c["y"].alias("ymin"), (c["x"] + wx).alias("xmax"), (c["y"] + wy).alias("ymax")),
+        )
+
+    box = _let(F.conv(F.translate(h, ALPHABET, DIGITS), 32, 10).cast("long"), cell)
     kind = "struct<xmin:double,ymin:double,xmax:double,ymax:double>"
     bad = ~h.rlike(f"^[{ALPHABET}]{{1,{LENGTH}}}$")
     whole = F.struct(F.lit(-180.0).alias("xmin"), F.lit(-90.0).alias("ymin"), F.lit(180.0).alias("xmax"), F.lit(90.0).alias("ymax"))
