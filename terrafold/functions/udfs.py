@@ -256,7 +256,7 @@ def _relation(name: str) -> Callable:
 
 
 def _points_in_one(pts: pa.Array, area: pa.Array, rel: str) -> pa.Array | None:
-    if area.null_count or len(area.unique()) != 1:
+    if pa.types.is_nested(area.type) or area.null_count or len(area.unique()) != 1:
         return None
     g = wkb.as_geometries(area.slice(0, 1))[0]
     if g is None or g[0] not in (wkb.POLYGON, wkb.MULTIPOLYGON):

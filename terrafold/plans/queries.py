@@ -93,10 +93,10 @@ query("st_startpoint", *_one(lambda: _T(C.st_startpoint(_G(LINE))), sql_text("PO
 query("st_endpoint", *_one(lambda: _T(C.st_endpoint(_G(LINE_Z))), sql_text("POINT Z({xa} {ya} {h})")))
 query("st_pointn", *_one(lambda: _T(C.st_pointn(_G(LINE), F.lit(-2))), sql_text("POINT({xa} {y})")))
 query("st_npoints", {"a": lambda: C.st_npoints(_G(HOLED)), "b": lambda: C.st_numpoints(_G(COLL))}, {"a": "CAST(10 AS INTEGER)", "b": "CAST(3 AS INTEGER)"})
-query("st_numinteriorrings", {"a": lambda: C.st_numinteriorrings(_G(HOLED)), "b": lambda: C.st_numinteriorring(_G(RECT)), "c": lambda: C.st_numinteriorrings(_G(LINE))}, {"a": "CAST(1 AS INTEGER)", "b": "CAST(0 AS INTEGER)", "c": "CAST(NULL AS INTEGER)"})
+query("st_numinteriorrings", {"a": lambda: C.st_numinteriorrings(_G(HOLED)), "b": lambda: C.st_numinteriorring(_G(RECT)), "c": lambda: C.st_numinteriorrings(_G(LINE)).isNull()}, {"a": "CAST(1 AS INTEGER)", "b": "CAST(0 AS INTEGER)", "c": "true"})
 query("st_x", {"a": lambda: C.st_x(_pt()), "b": lambda: C.st_x(_G("POINT({xa} {y})"))}, {"a": "x", "b": "xa"})
 query("st_y", {"a": lambda: C.st_y(_pt()), "b": lambda: C.st_y(_G("POINT({xa} {ya})"))}, {"a": "y", "b": "ya"})
-query("st_z", {"a": lambda: C.st_z(C.st_pointz("x", "y", "w")), "b": lambda: C.st_z(_G("POINT Z({x} {y} {h})")), "c": lambda: C.st_z(_G("POINT M({x} {y} {h})"))}, {"a": "w", "b": "h", "c": "CAST(NULL AS DOUBLE)"})
+query("st_z", {"a": lambda: C.st_z(C.st_pointz("x", "y", "w")), "b": lambda: C.st_z(_G("POINT Z({x} {y} {h})")), "c": lambda: C.st_z(_G("POINT M({x} {y} {h})")).isNull()}, {"a": "w", "b": "h", "c": "true"})
 query("st_m", {"a": lambda: C.st_m(C.st_pointm("x", "y", "w")), "b": lambda: C.st_m(_G("POINT ZM({x} {y} {w} {h})"))}, {"a": "w", "b": "h"})
 
 
@@ -235,7 +235,7 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _join(how: str, exact: bool = True) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = spatial_join(_points(spark, sf_dir), _rects(spark, sf_dir), "g", "rect", how=how, left_box="box", right_box="rect", exact=exact)
-        return out.select("k", "o") if how in ("inner", "left") else out.select("k")
+        return out.select("k", F.coalesce("o", F.lit(-1)).alias("o")) if how in ("inner", "left") else out.select("k")
 
     return run
 
@@ -243,7 +243,7 @@ def _join(how: str, exact: bool = True) -> Callable[[SparkSession, str], DataFra
 _ON = "x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1"
 QUERIES |= {"spatial_join": _join("inner"), "spatial_join_boxes": _join("inner", False), "spatial_join_left": _join("left"), "spatial_join_semi": _join("left_semi"), "spatial_join_anti": _join("left_anti")}
 ORACLES["spatial_join"] = ORACLES["spatial_join_boxes"] = _CTE + _RECTS + f"SELECT k, o FROM b JOIN r ON {_ON}"
-ORACLES["spatial_join_left"] = _CTE + _RECTS + f"SELECT k, o FROM b LEFT JOIN r ON {_ON}"
+ORACLES["spatial_join_left"] = _CTE + _RECTS + f"SELECT k, coalesce(o, -1) AS o FROM b LEFT JOIN r ON {_ON}"
 ORACLES["spatial_join_semi"] = _CTE + _RECTS + f"SELECT k FROM b WHERE EXISTS (SELECT 1 FROM r WHERE {_ON})"
 ORACLES["spatial_join_anti"] = _CTE + _RECTS + f"SELECT k FROM b WHERE NOT EXISTS (SELECT 1 FROM r WHERE {_ON})"
 
