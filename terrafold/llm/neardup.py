@@ -9,8 +9,8 @@ Documents with equal sets are one class; the least id represents it. Bands of re
 In a bucket every member is compared with the least one (a star: as many pairs as members). A pair is kept
 if the likelihood of its register comparisons, given both set sizes, has its maximum near enough to the
 threshold, and becomes a link if the full sets confirm it. Where a bucket's members are not in one component
-after that, all its pairs between components are compared by their registers, in tiles, so that the star
-loses no link between different sets. With BANDS x ROWS registers a pair at the threshold shares no bucket
+after that, members outside its largest component are compared with all others of the bucket, in tiles that
+hold registers and full sets, so that the star loses no link between different sets. With BANDS x ROWS registers a pair at the threshold shares no bucket
 with a probability under 1e-7.
 
 Cases: a null or empty text, or one without words, has an empty set and links with nothing; with fewer words
@@ -39,7 +39,7 @@ M = BANDS * ROWS
 BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
 #: A pair at the threshold has an estimate below this with a probability of about 1e-5 (4.5 deviations).
 CUT = 0.66
-TILE, SLICE_BYTES = 2000, 4 << 20
+TILE, SLICE_BYTES = 600, 4 << 20
 #: Ids up to this many are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_IDS = 250_000
 _MULTIPLIERS = mix(np.arange(1, M + 1, dtype=np.uint64)) | _U(1)
@@ -129,7 +129,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
 
 
 def _bands(reps: DataFrame) -> DataFrame:
-    """Rows (key, rep, n), one for each band."""
+    """Rows (key, band, rep, n), one for each band."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in frames:
@@ -139,9 +139,10 @@ def _bands(reps: DataFrame) -> DataFrame:
                 for r in range(ROWS):
                     key = combine(key, regs[:, :, r])
                 rep = np.repeat(rb.column(0).to_numpy(), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(rep), pa.array(np.repeat(rb.column(1).to_numpy(), BANDS))], names=["key", "rep", "n"])
+                band = np.tile(np.arange(BANDS, dtype=np.int32), rb.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(band), pa.array(rep), pa.array(np.repeat(rb.column(1).to_numpy(), BANDS))], names=["key", "band", "rep", "n"])
 
-    return reps.select("rep", "n", "regs").mapInArrow(run, "key long, rep long, n long")
+    return reps.select("rep", "n", "regs").mapInArrow(run, "key long, band int, rep long, n long")
 
 
 def _ratio(na, nb, percent: int):
@@ -163,9 +164,8 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """pairs whose full sets reach the threshold; the texts are read again for the documents in pairs only."""
-    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+def _sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """Rows (id, s): the full sets of the documents in ids, whose texts are read again. ids is held in a table."""
     few = ids.count() <= BROADCAST_IDS
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     rows = rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
@@ -175,7 +175,13 @@ def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shin
             got = shingle_sets(rb.column(1).to_pylist(), shingle)
             yield pa.RecordBatch.from_arrays([rb.column(0), pa.array([s.tobytes() for s in got], pa.binary())], names=["id", "s"])
 
-    sets = materialize(rows.mapInArrow(run, "id long, s binary"), "sets")
+    return materialize(rows.mapInArrow(run, "id long, s binary"), "sets")
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """pairs whose full sets reach the threshold."""
+    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    sets = _sets(ids, docs, id_col, text_col, shingle)
 
     def meet(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in frames:
@@ -193,33 +199,57 @@ def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shin
     return joined.mapInArrow(meet, "a long, b long").distinct()
 
 
-def _between(bands: DataFrame, reps: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of different components within buckets that the star left in several components."""
+def _open_buckets(bands: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of the buckets that the star left in several components, cut into tiles that meet in pairs.
+
+    Members outside a bucket's largest component are on the left, all members are on the right: those of the
+    largest component need no comparison with each other, and are most of a large bucket.
+    """
     own = bands.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = own.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi AND size > 2")
-    mine = own.join(open_.select("key", "size"), "key").withColumn("tiles", F.ceil(F.col("size") / TILE)).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")))
-    mine = mine.join(reps.select("rep", "regs"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    mine = mine.select("key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "rep", "n", "component", "regs")
+    each = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
+    open_ = each.agg(F.sum("c").alias("size"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", "component")).alias("major")).where("parts > 1 AND size > 2")
+    open_ = open_.select("key", F.col("major.component").alias("major"), F.ceil((F.col("size") - F.col("major.c")) / TILE).alias("lefts"), F.ceil(F.col("size") / TILE).alias("rights"))
+    mine = own.join(open_, "key")
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    at = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    cols = ("key", "band", "rep", "n", "component", (F.col("component") == F.col("major")).alias("main"))
+    left = mine.where("component <> major").select(*cols, at("lefts").alias("l"), spread("rights").alias("r"), F.lit(True).alias("first"))
+    right = mine.select(*cols, at("rights").alias("r"), spread("lefts").alias("l"), F.lit(False).alias("first"))
+    return left.unionByName(right)
+
+
+def _between(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components within tiles: likely by registers, in the first band that a pair shares, and confirmed.
+
+    Pairs that earlier links of the tile have joined are left out, so a tile returns fewer links than members.
+    """
+    full = members.join(reps.select("rep", "regs"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
 
     def run(table: pa.Table) -> pa.Table:
-        t1, t2 = table["t1"][0].as_py(), table["t2"][0].as_py()
-        table = table.sort_by("rep")
-        rep, n, comp, tile = (table[c].to_numpy() for c in ("rep", "n", "component", "tile"))
+        band = table["band"][0].as_py()
+        rep, n, comp, main, first = (table[c].to_numpy() for c in ("rep", "n", "component", "main", "first"))
         regs = np.frombuffer(b"".join(table["regs"].to_pylist()), dtype="<u2").reshape(-1, M)
-        left, right = [], []
-        for i in np.flatnonzero(tile == t1).tolist():
-            ok = (comp != comp[i]) & (tile == t2) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-            if t1 == t2:
-                ok[: i + 1] = False
-            js = np.flatnonzero(ok)
-            js = js[(regs[js] == regs[i]).mean(axis=1) >= CUT - 0.05] if len(js) else js
+        sets_ = [np.frombuffer(x, dtype="<u8") for x in table["s"].to_pylist()]
+        right = np.flatnonzero(~first)
+        comp = comp.copy()
+        out: list[tuple[int, int]] = []
+        for i in np.flatnonzero(first).tolist():
+            js = right[(comp[right] != comp[i]) & (main[right] | (rep[right] > rep[i])) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+            same = regs[js] == regs[i]
+            js = js[(same.mean(axis=1) >= CUT - 0.05) & (same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band)]
             if len(js):
                 js = js[estimate(np.broadcast_to(regs[i], (len(js), M)), regs[js], np.full(len(js), n[i]), n[js]) >= CUT]
-            left += np.minimum(rep[i], rep[js]).tolist()
-            right += np.maximum(rep[i], rep[js]).tolist()
-        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+            for j in js.tolist():
+                if comp[i] == comp[j]:
+                    continue
+                a, b = sets_[i], sets_[j]
+                both = int((b[np.searchsorted(b, a).clip(0, len(b) - 1)] == a).sum())
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    out.append((int(rep[i]), int(rep[j])))
+                    comp[comp == comp[j]] = comp[i]
+        return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
 
-    return mine.groupBy("key", "t1", "t2").applyInArrow(run, "a long, b long").distinct()
+    return full.groupBy("key", "l", "r").applyInArrow(run, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
@@ -234,9 +264,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     likely = materialize(_likely(pairs, reps), "likely")
     links = materialize(_confirm(likely, docs, id_col, text_col, shingle, percent), "links")
     comps = components(links)
-    rest = materialize(_between(bands, reps, comps, percent).join(likely, ["a", "b"], "left_anti"), "rest")
-    if rest.limit(1).count():
-        more = materialize(_confirm(rest, docs, id_col, text_col, shingle, percent), "links2")
+    members = materialize(_open_buckets(bands, comps), "members")
+    ids = materialize(members.select(F.col("rep").alias("id")).distinct(), "ids")
+    if ids.limit(1).count():
+        more = materialize(_between(members, reps, _sets(ids, docs, id_col, text_col, shingle), percent), "links2")
         if more.limit(1).count():
             comps = components(links.union(more))
     named = reps.select("n", "f1", "f2", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
