@@ -146,7 +146,7 @@ class PieceModel:
         s, e, ids, score = self.arcs(local, limit)
         a, b = s + shift[s], e + shift[s]
         depth = e - (unit_end - size)[shift[s]]
-        order = np.argsort(depth * (len(local) + len(size) + 1) + b)
+        order = np.argsort(depth * (len(local) + len(size) + 1) + b, kind="stable")  # arcs of a node by length
         a, b, ids, w, depth = a[order], b[order], ids[order], alpha * score[order], depth[order]
         reach = np.zeros(len(local) + len(size))
         share = np.empty(len(a))
@@ -164,8 +164,13 @@ class PieceModel:
             y = np.exp(x - np.repeat(top, n))
             total = np.add.reduceat(y, h)
             reach[b[lo:hi][h]] = top + np.log(total)
-            run = np.cumsum(y / np.repeat(total, n))
-            share[lo:hi] = run - np.repeat(np.concatenate([[0], run[h[1:] - 1]]), n)
+            run = y / np.repeat(total, n)
+            more, r = h[n > 1], 1
+            while len(more):  # summed within the node, so that no other text's numbers leave a trace
+                run[more + r] += run[more + r - 1]
+                r += 1
+                more = h[n > r]
+            share[lo:hi] = run
         share[np.append(head[1:], len(share)) - 1] = 2.0  # the last arc takes what rounding leaves
         arc = np.zeros(len(reach), dtype=np.int64)
         arc[b[head]] = head
