@@ -398,6 +398,7 @@ TABLE: dict[str, tuple[Callable, object, int, int]] = {
     "st_length": (_grouped(kernels.length, "double"), DoubleType(), 1, 1),
     "st_centroid": (_centroid, BinaryType(), 1, 1),
     "st_convexhull": (_each(shapes.convex_hull, "binary"), BinaryType(), 1, 1),
+    "st_concavehull": (_each(lambda g, r: shapes.concave_hull(g, float(r)), "binary"), BinaryType(), 2, 2),
     "st_orientedenvelope": (_each(shapes.oriented_envelope, "binary"), BinaryType(), 1, 1),
     "st_pointonsurface": (_each(shapes.point_on_surface, "binary"), BinaryType(), 1, 1),
     "st_simplify": (_each(lambda g, t: shapes.simplify(g, float(t)), "binary"), BinaryType(), 2, 2),

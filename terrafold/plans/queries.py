@@ -164,6 +164,7 @@ query("st_distance", {"a": lambda: F.round(C.st_distance(_pt(), _pt("xa", "ya"))
 # processing
 query("st_centroid", {"px": lambda: C.st_x(C.st_centroid(_G(RECT))), "py": lambda: C.st_y(C.st_centroid(_G(RECT))), "l": lambda: _T(C.st_centroid(_G("LINESTRING({x} {y},{xb} {y})"))), "m": lambda: _T(C.st_centroid(_G(MPOINT)))}, {"px": "xm", "py": "ym", "l": sql_text("POINT({xa} {y})"), "m": sql_text("POINT({xm} {ym})")})
 query("st_convexhull", {"a": lambda: C.st_area(C.st_convexhull(_G("MULTIPOINT({x} {y},{xd} {y},{xd} {yd},{x} {yd},{xa} {yb},{xb} {ya},{xa} {ya})"))), "n": lambda: C.st_npoints(C.st_convexhull(_G(HOLED)))}, {"a": "16 * w * h", "n": "CAST(5 AS INTEGER)"})
+query("st_concavehull", {"a": lambda: C.st_area(C.st_concavehull(_G("MULTIPOINT({x} {y},{xa} {y},{xb} {y},{x} {ya},{xa} {ya},{x} {yb})"), F.lit(0.0))), "n": lambda: C.st_npoints(C.st_concavehull(_G("MULTIPOINT({x} {y},{xa} {ya},{xa} {y},{x} {ya})"), F.lit(1.0)))}, {"a": "2 * w * h", "n": "CAST(5 AS INTEGER)"})
 query("st_orientedenvelope", {"a": lambda: F.round(C.st_area(C.st_orientedenvelope(_G("POLYGON(({x} {ya},{xa} {y},{xb} {ya},{xa} {yb},{x} {ya}))"))), 6)}, {"a": "round(4 * w * h * greatest(w, h) * greatest(w, h) / (w * w + h * h), 6)"})
 query("st_pointonsurface", {"a": lambda: C.st_within(C.st_pointonsurface(_G(HOLED)), _G(HOLED)), "b": lambda: C.st_intersects(C.st_pointonsurface(_G(LINE)), _G(LINE))}, {"a": "true", "b": "true"})
 query("st_simplify", {"a": lambda: _T(C.st_simplify(_G("LINESTRING({x} {y},{xa} {y},{xb} {y},{xc} {y},{xd} {yd})"), F.lit(0.001))), "b": lambda: C.st_npoints(C.st_simplify(_G("POLYGON(({x} {y},{xa} {y},{xd} {y},{xd} {yd},{x} {yd},{x} {y}))"), F.lit(0.001)))}, {"a": sql_text("LINESTRING({x} {y},{xc} {y},{xd} {yd})"), "b": "CAST(5 AS INTEGER)"})

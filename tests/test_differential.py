@@ -102,3 +102,22 @@ def test_codec_round_trips():
         w = "LINESTRING ZM(" + ",".join(" ".join(str(make.uniform(-9, 9)) for _ in range(4)) for _ in range(n)) + ")"
         g = wkt.parse(w)
         assert wkt.format(wkb.read(wkb.write(g))) == w
+
+
+def test_concave_hull(spark, jts):
+    r = random.Random(9)
+    tool = spark._jvm.org.locationtech.jts.algorithm.hull.ConcaveHull
+    for k in range(40):
+        n = r.randint(4, 60)
+        points = [(r.uniform(0, 100), r.uniform(0, 100)) if k % 2 else (r.randint(0, 12), r.randint(0, 12)) for _ in range(n)]
+        w = "MULTIPOINT(" + ",".join(f"({x} {y})" for x, y in points) + ")"
+        g, ratio = wkt.parse(w), r.choice([0.0, 0.2, 0.5, 0.9])
+        hull = shapes.concave_hull(g, ratio)
+        if hull[0] != wkb.POLYGON:
+            continue
+        assert relate.invalid_reason(hull) is None
+        j = jts.read(wkt.format(hull))
+        assert j.buffer(1e-9).covers(jts.read(w))
+        if k % 2:  # without ties the triangulation is the only one
+            assert abs(j.getArea() - tool.concaveHullByLengthRatio(jts.read(w), ratio).getArea()) < 1e-6
+    assert wkt.format(shapes.concave_hull(wkt.parse("MULTIPOINT(0 0,1 1,2 2)"), 0.3)) == "LINESTRING(0 0,2 2)"

@@ -124,3 +124,13 @@ def test_mixed_layouts_in_one_column(spark):
     assert [got[i].n for i in range(7)] == [1, 0, None, 2, 5, 1, 1]
     assert [got[i].l for i in range(7)] == [0, 0, None, 5, 0, 0, 0] and got[4].a == 4
     assert [got[i].t for i in range(7)] == ws[:7] and all(got[i].t == ws[i] for i in range(21))
+
+
+def test_every_name_is_registered(spark):
+    from terrafold.functions.registry import GROUPS
+    from terrafold.functions.udfs import ALIASES, TABLE
+
+    assert sorted(register_all(spark)) == sorted([*TABLE, *ALIASES, "st_extent"])
+    assert sorted(n for g in GROUPS.values() for n in g) == sorted(TABLE)
+    for name in (*TABLE, *ALIASES):
+        assert hasattr(C, name), name
