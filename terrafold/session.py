@@ -52,5 +52,6 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate for df, which for a file scan is the size of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size estimate for df, which for a file scan is the size of its files; where it has none, by partitions."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 57 else df.rdd.getNumPartitions() * (64 << 20)
