@@ -105,7 +105,8 @@ class Encoder:
     def _add(self, key: np.ndarray, check: np.ndarray, units: list[bytes]) -> None:
         """key is sorted and none of it is in the cache."""
         if len(self.key) + len(key) > CACHE_UNITS and len(self.key):
-            recent = np.argsort(-self.used, kind="stable")[: CACHE_UNITS // 2]
+            needed = int((self.used == self.clock).sum())  # units of this slice stay in any case
+            recent = np.argsort(-self.used, kind="stable")[: max(CACHE_UNITS // 2, needed)]
             self._select(np.sort(recent))
         sizes, flat = self._units(units)
         order = np.argsort(np.concatenate([self.key, key]), kind="stable")
@@ -148,9 +149,7 @@ class Encoder:
                 stay[spot[clash]] = False
                 self._select(np.flatnonzero(stay))
             self._add(keys[~known], checks[new], [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
-            spot = np.searchsorted(self.key, keys).clip(0, max(len(self.key) - 1, 0))
-            if not np.array_equal(self.key[spot], keys):  # the cache was cut and lost some of these
-                return self._slice(texts)
+            spot = np.searchsorted(self.key, keys)
         size = self.size[spot][where]
         ids = self.ids[_ranges(self.start[spot][where], size)]
         edge = np.concatenate([[0], np.cumsum(size)])[first]

@@ -60,14 +60,14 @@ class Level:
     """A Bloom filter over 64-bit key hashes."""
 
     def __init__(self, keys: np.ndarray, bits: int, number: int) -> None:
-        self.bits, self.number = bits, number
+        self.bits, self.number, self.probes = bits, number, PROBES
         self.words = np.zeros(-(-bits // 64), dtype=_U)
         for at in self._places(keys):
             np.bitwise_or.at(self.words, at >> _U(6), _U(1) << (at & _U(63)))
 
     def _places(self, keys: np.ndarray) -> Iterator[np.ndarray]:
-        for p in range(PROBES):
-            yield mix(keys + _U((self.number * PROBES + p + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % _U(self.bits)
+        for p in range(self.probes):
+            yield mix(keys + _U((self.number * self.probes + p + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % _U(self.bits)
 
     def lets(self, keys: np.ndarray) -> np.ndarray:
         ok = np.ones(len(keys), dtype=bool)
