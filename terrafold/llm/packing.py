@@ -1,9 +1,10 @@
 """Best-fit packing: documents cut into pieces of at most a sequence's length, packed into few sequences.
 
-Pieces are dealt to partitions and packed by best-fit decreasing. A lower bound from dual-feasible functions
-certifies a partition whose bin count meets it; its bins are final, and so are all full bins. What is left
-over of partitions with a gap is exchanged: groups of partitions merge their pieces, pack them again and
-keep the better result, round after round with wider groups, until all are certified or one group is left.
+Pieces are dealt to partitions and packed by best-fit decreasing. Lower bounds from dual-feasible functions
+certify bin counts: the whole is done when its count meets the bound of all pieces. Until then bins are exchanged: from a
+partition with a gap to its own bound all that are not full, from a certified one those that are not nearly full.
+Groups of partitions merge these, pack them again and keep the better result, round after round with wider groups,
+until the count is certified or one group is left (or groups would outgrow a task).
 
 Cases: a null or empty text is its end id alone; repeated rows are separate documents; an empty table gives
 an empty result; other columns are not read. A null id stays null.
@@ -20,12 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.llm.batches import trim
 from terrafold.llm.tokens import encoder
 from terrafold.session import materialize, ship
 
 SEQUENCE, END_ID = 2048, 0
-#: Pieces dealt to a partition, partitions that merge in a round, and the most pieces one task packs.
-PER_PARTITION, MERGE, MOST = 8_000, 6, 150_000
+#: Pieces dealt to a partition, partitions that merge in a round, the most pieces one task packs, and the share of a
+#: sequence that a nearly full bin may lack.
+PER_PARTITION, MERGE, MOST, NEAR = 8_000, 6, 150_000, 64
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 
 
@@ -46,6 +49,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             cols = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _PIECES.split(", ")])
+        trim()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     return materialize(rows.mapInArrow(run, _PIECES), "pieces")
@@ -120,21 +124,25 @@ def assign(cut: DataFrame, length: int = SEQUENCE) -> DataFrame:
                     bins, at, used = was[1].reshape(-1).astype(np.int64), table["offset"].to_numpy(), was[0].shape[1]
             filled = np.bincount(bins, weights=sizes, minlength=used)
             proved = used <= lower_bound(np.bincount(sizes, minlength=length + 1), length)
-            final = proved | (filled[bins] == length)
+            final = filled[bins] >= (length - length // NEAR if proved else length)
             out = {k: table[k] for k in [x.split()[0] for x in _PIECES.split(", ")]}
             return pa.table(out | {"part": table["part"], "bin": pa.array(bins, pa.int64()), "offset": pa.array(at, pa.int64()), "final": pa.array(final)})
 
         return run
 
     dealt = rest.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
-    done, round_ = [], 0
+    sizes = {r.length: r.c for r in rest.groupBy("length").agg(F.count(F.lit(1)).alias("c")).collect()}  # at most one row a length
+    bound = lower_bound(np.array([sizes.get(k, 0) for k in range(length + 1)], dtype=np.int64), length)
+    done, round_, closed = [], 0, 0
     now = materialize(dealt.groupBy("part").applyInArrow(packer(False), schema), "packed0")
     while True:
         round_ += 1
         left = now.where(~F.col("final"))
         open_ = left.count()
         groups = -(-parts // MERGE)
-        last = not open_ or parts == 1 or open_ // groups > MOST
+        bins = {r.final: r.c for r in now.groupBy("final").agg(F.countDistinct("part", "bin").alias("c")).collect()}
+        closed += bins.get(True, 0)
+        last = not open_ or parts == 1 or open_ // groups > MOST or closed + bins.get(False, 0) <= bound
         keep = now if last else now.where("final")
         done.append(keep.select(*[x.split()[0] for x in _PIECES.split(", ")], "offset", (F.lit(round_).cast("long") * (1 << 56) + F.col("part") * (1 << 24) + F.col("bin")).alias("sequence_id")))
         if last:
