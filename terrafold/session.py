@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_MADE: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -41,7 +42,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/terrafold/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/terrafold/{tag}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def discard(spark: SparkSession) -> int:
+    """Delete the tables and files that this session's queries have put into the shared folder; their number.
+
+    Call it once the results that read them are written: a DataFrame that an operator returned still needs its tables.
+    """
+    n = 0
+    for path in list(_MADE):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        n += bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
+        _MADE.remove(path)
+    return n
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
