@@ -2,7 +2,7 @@
 
 Geo holds a point's coordinates as columns and becomes WKB only where WKB is asked for, so reading a coordinate of
 a built point, its GeoHash, the distance of two points or the extent of points runs without Python.
-Functions take Geo, columns (or names) of WKB, WKT, box or point structs, and shapely-free constants: a WKT str in lit().
+Functions take Geo, or columns (or their names) of WKB, WKT, box structs or point structs; literal() makes constants.
 """
 
 from __future__ import annotations

@@ -110,13 +110,10 @@ def _bounds(names: tuple[str, ...], picks: tuple[int, ...]) -> Callable:
 
 def _extreme(pick: int) -> Callable:
     def run(column: pa.Array) -> pa.Array:
-        return _bounds(("v",), (pick,))(column).field(0) if len(column) else pa.array([], pa.float64())
+        box = _bounds(("v",), (pick,))(column)
+        return pa.array(box.field(0).to_numpy(zero_copy_only=False), pa.float64(), from_pandas=True)
 
-    def masked(column: pa.Array) -> pa.Array:
-        s = _bounds(("v",), (pick,))(column)
-        return pa.array(s.field(0).to_numpy(zero_copy_only=False), from_pandas=True) if len(column) else run(column)
-
-    return masked
+    return run
 
 
 def _points(dims: int) -> Callable:
@@ -424,7 +421,7 @@ ALIASES = {
 
 
 def make_udf(name: str):
-    """The Arrow UDF for a SQL name. Only one of fixed arity can be called from SQL with a wrong number of arguments refused."""
+    """The Arrow UDF for a SQL name; it refuses a wrong number of arguments when it runs."""
     fn, kind, least, most = TABLE[ALIASES.get(name, name)]
 
     def run(*columns: pa.Array) -> pa.Array:
