@@ -10,12 +10,20 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW_BYTES = 4 << 20
+_ARROW_LIMIT, _ARROW_DEFAULTS = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64MB", "64m", "9223372036854775807b")
 _SHIPPED: set[str] = set()
 _MADE: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors; done once per application."""
+    """Make this package importable on the executors; done once per application.
+
+    Arrow batches between the JVM and Python are limited to ARROW_BYTES unless the session sets a limit of its own:
+    each task holds a batch twice outside the heap.
+    """
+    if str(spark.conf.get(_ARROW_LIMIT)) in _ARROW_DEFAULTS:
+        spark.conf.set(_ARROW_LIMIT, ARROW_BYTES)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
@@ -47,16 +55,22 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def discard(spark: SparkSession) -> int:
-    """Delete the tables and files that this session's queries have put into the shared folder; their number.
+def made(since: int = 0) -> list[str]:
+    """What this session's queries have put into the shared folder, from a place in that list on."""
+    return _MADE[since:]
+
+
+def discard(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete tables and files that queries have put into the shared folder, all of them unless paths are given; their number.
 
     Call it once the results that read them are written: a DataFrame that an operator returned still needs its tables.
     """
     n = 0
-    for path in list(_MADE):
+    for path in list(_MADE if paths is None else paths):
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         n += bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
-        _MADE.remove(path)
+        if path in _MADE:
+            _MADE.remove(path)
     return n
 
 
