@@ -81,10 +81,6 @@ def host_rates(judged: DataFrame, host_col: str) -> DataFrame:
     """Rows (host, docs, failures, rate): the posterior mean under a beta prior fitted to all hosts' rates."""
     hosts = judged.where(F.col(host_col).isNotNull()).groupBy(F.col(host_col).alias("host"))
     hosts = hosts.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.col("base_failed").cast("long")).alias("failures"))
-    return _shrunk(hosts)
-
-
-def _shrunk(hosts: DataFrame) -> DataFrame:
     raw = F.col("failures") / F.col("docs")
     prior = hosts.agg(F.avg(raw).alias("m"), F.var_pop(raw).alias("v"))
     spread = F.greatest(F.col("v"), F.lit(LEAST_SPREAD))
@@ -113,9 +109,10 @@ def apply(docs: DataFrame, host_col: str = "source", text_col: str = "text", max
     ship(docs.sparkSession)
     names = docs.columns
     judged = features(docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias(f"{_F}row"), F.col(host_col).cast("string").alias(f"{_F}host"), F.col(text_col).alias(f"{_F}text")), f"{_F}text", (f"{_F}row", f"{_F}host"))
-    flags = materialize(judged.select(f"{_F}host", "base_failed").groupBy(f"{_F}host", "base_failed").agg(F.count(F.lit(1)).alias("c")), "hostcounts")
-    hosts = flags.where(F.col(f"{_F}host").isNotNull()).groupBy(F.col(f"{_F}host").alias("host")).agg(F.sum("c").alias("docs"), F.sum(F.when(F.col("base_failed"), F.col("c")).otherwise(0)).alias("failures"))
-    bad = materialize(_shrunk(hosts).where(F.col("rate") > max_rate).select(F.col("host").alias(f"{_F}bad")), "hosts")
+    # the rules run once: rows that pass are written, of the others only host and verdict
+    row = F.when(~F.col("base_failed"), F.col(f"{_F}row")).alias(f"{_F}row")
+    judged = materialize(judged.select(row, f"{_F}host", "base_failed"), "quality")
+    bad = materialize(host_rates(judged, f"{_F}host").where(F.col("rate") > max_rate).select(F.col("host").alias(f"{_F}bad")), "hosts")
     n = bad.count()
     small = n <= BROADCAST_HOSTS and plan_bytes(bad) <= 8 << 20
     kept = judged.where(~F.col("base_failed"))
