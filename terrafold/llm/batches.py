@@ -10,6 +10,10 @@ blobs at most once, so one hot key adds one entry for each batch, never one for
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,11 +26,28 @@ from pyspark.sql import functions as F
 from terrafold.session import materialize, plan_bytes, ship
 
 #: Text bytes and documents that close a batch; a longer document is a batch of its own.
-BATCH_BYTES, BATCH_DOCS = 6 << 20, 8192
+BATCH_BYTES, BATCH_DOCS = 4 << 20, 8192
 #: Stands for a null id: it is larger than all others.
 NO_ID = np.iinfo(np.int64).max
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live on after their task, and executors count what they hold."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def fresh() -> None:
+    """Drop what other operators keep in this worker between their tasks."""
+    for name, held in (("tokens", "_ENCODERS"), ("pieces", "_MODELS")):
+        kept = getattr(sys.modules.get(f"terrafold.llm.{name}"), held, None)
+        if kept:
+            kept.clear()
+            gc.collect()
+            trim()
+
+
 def squeeze(data: bytes, level: int = 1) -> bytes:
     return zstandard.ZstdCompressor(level=level).compress(data)
 
@@ -74,48 +95,77 @@ def load_batch(payload: bytes) -> tuple[np.ndarray, list[bytes | None]]:
     return ids, texts
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """Rows (batch, part, payload), written to the shared folder.
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: Callable[[np.ndarray], np.ndarray] | None = None, carry: bool = False) -> DataFrame:
+    """Rows (batch, part, payload, extra), written to the shared folder.
 
     split, if given, maps ids to small numbers; documents of different numbers go to different batches,
-    whose rows carry the number in part.
+    whose rows carry the number in part. carry: extra has the batch's whole rows but for their text, as an Arrow
+    stream, so that they need no join later.
     """
     ship(docs.sparkSession)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         base = TaskContext.get().partitionId() << 32
         made = 0
-        held: dict[int, tuple[list, list, list]] = {}
+        held: dict[int, tuple[list, list, list, list]] = {}
 
         def close(part: int) -> pa.RecordBatch:
             nonlocal made
-            ids, texts, _ = held.pop(part)
+            ids, texts, _, rows = held.pop(part)
             made += 1
-            return pa.RecordBatch.from_pydict({"batch": [base + made], "part": pa.array([part], pa.int32()), "payload": [dump_batch(ids, texts)]})
+            return pa.RecordBatch.from_pydict({"batch": [base + made], "part": pa.array([part], pa.int32()), "payload": [dump_batch(ids, texts)], "extra": [dump_rows(rows) if carry else None]})
 
         for rb in frames:
             ids = rb.column(0).to_pylist()
             texts = rb.column(1)
             parts = split(rb.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)).tolist() if split else [0] * len(ids)
+            begun = dict.fromkeys(held, 0)  # where the rows of open batches begin in this frame
             for i, part in enumerate(parts):
                 t = texts[i].as_py()
-                own = held.setdefault(part, ([], [], [0]))
+                own = held.setdefault(part, ([], [], [0], []))
+                begun.setdefault(part, i)
                 own[0].append(ids[i])
                 own[1].append(t)
                 own[2][0] += len(t) if t else 0
                 if own[2][0] >= BATCH_BYTES or len(own[0]) >= BATCH_DOCS:
+                    own[3].append(_cut(rb, begun.pop(part), i + 1))
                     yield close(part)
+            if carry:
+                for part, i in begun.items():
+                    if i < len(ids):
+                        held[part][3].append(_cut(rb, i, len(ids)))
         for part in sorted(held):
             yield close(part)
+        trim()
+
+    if carry and split:
+        raise ValueError("whole rows are carried for undivided batches only")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("__text"), *([F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col] if carry else []))
+    return materialize(rows.mapInArrow(run, "batch long, part int, payload binary, extra binary"), "packed")
+
+
+def _cut(rb: pa.RecordBatch, start: int, stop: int) -> pa.RecordBatch:
+    """Rows of the carried columns, copied: a slice would hold on to the frame's texts."""
+    return rb.select(list(range(2, rb.num_columns))).take(pa.array(range(start, stop), pa.int64()))
+
+
+def dump_rows(frames: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, frames[0].schema) as out:
+        for rb in frames:
+            out.write_batch(rb)
+    return squeeze(sink.getvalue().to_pybytes(), 3)
+
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return materialize(rows.mapInArrow(run, "batch long, part int, payload binary"), "packed")
+def load_rows(extra: bytes) -> pa.Table:
+    return pa.ipc.open_stream(unsqueeze(extra)).read_all()
 
 
 def buckets_for(packed: DataFrame, least: int = 64) -> int:
     """How many buckets of the key space: in proportion to the packed bytes, each bucket's keys within one task's memory."""
     total = plan_bytes(packed)
-    return max(least, total // min(16 << 20, max(3 << 20, total // 1000)) + 1)
+    return max(least, total // min(16 << 20, max(1 << 20, total // 2000)) + 1)
 
 
 def by_bucket(keys: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.batches import NO_ID, buckets_for, by_bucket, load_batch, pack, pack_ints, unpack_ints
+from terrafold.llm.batches import NO_ID, buckets_for, by_bucket, load_batch, pack, pack_ints, trim, unpack_ints
 from terrafold.llm.words import LOWER, combine, find_words, hash_words, join_texts
 from terrafold.session import materialize
 
@@ -81,6 +81,7 @@ def emit(packed: DataFrame, buckets: int) -> DataFrame:
                 cols = list(zip(*got, strict=True))
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["bucket", "batch", "part", "keys", "counts"])
+                trim()
 
     return packed.mapInArrow(run, "bucket long, batch long, part int, keys binary, counts binary")
 
@@ -153,7 +154,7 @@ def fit_weights(cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
-    packed = pack(docs, id_col, text_col, _part)
+    packed = pack(docs, id_col, text_col, _part).drop("extra")
     buckets = buckets_for(packed)
     schema = "bucket long, batch long, part int, answer binary, main binary, types long, tokens long"
     answers = materialize(emit(packed, buckets).groupBy("bucket").applyInArrow(answer, schema), "counts")

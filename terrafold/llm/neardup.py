@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.batches import NO_ID
+from terrafold.llm.batches import NO_ID, fresh, trim
 from terrafold.llm.links import components
 from terrafold.llm.words import LOWER, combine, distinct, find_words, hash_words, join_texts, mix
 from terrafold.session import materialize, ship
@@ -39,7 +39,7 @@ M = BANDS * ROWS
 BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
 #: A pair at the threshold has an estimate below this with a probability of about 1e-5 (4.5 deviations).
 CUT = 0.66
-TILE, SLICE_BYTES = 600, 4 << 20
+TILE, SLICE_BYTES = 600, 2 << 20
 #: Ids up to this many are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_IDS = 250_000
 _MULTIPLIERS = mix(np.arange(1, M + 1, dtype=np.uint64)) | _U(1)
@@ -97,6 +97,21 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return grid[np.arange(len(grid)), fit.argmax(axis=1)]
 
 
+def _slices(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes | None]]]:
+    """Ids and texts, a bounded number of bytes at a time."""
+    for rb in frames:
+        ids, texts, size = [], [], 0
+        for i, t in zip(rb.column(0).to_pylist(), rb.column(1), strict=True):
+            ids.append(i)
+            texts.append(t.as_py())
+            size += len(texts[-1]) if texts[-1] else 0
+            if size >= SLICE_BYTES:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+        if ids:
+            yield ids, texts
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """Rows (id, n, f1, f2, regs): set size, 128-bit fingerprint of the set, registers."""
 
@@ -112,17 +127,10 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(blob, pa.binary())], names=["id", "n", "f1", "f2", "regs"])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in frames:
-            ids, texts, size = [], [], 0
-            for i, t in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
-                ids.append(i)
-                texts.append(t)
-                size += len(t) if t else 0
-                if size >= SLICE_BYTES:
-                    yield part(ids, texts)
-                    ids, texts, size = [], [], 0
-            if ids:
-                yield part(ids, texts)
+        fresh()
+        for ids, texts in _slices(frames):
+            yield part(ids, texts)
+        trim()
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     return rows.mapInArrow(run, "id long, n long, f1 long, f2 long, regs binary")
@@ -155,7 +163,7 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     side = lambda k: reps.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("regs").alias(f"r{k}"))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in frames:
+        for rb in (frame.slice(k, 2000) for frame in frames for k in range(0, frame.num_rows, 2000)):
             if rb.num_rows:
                 a, b = (np.frombuffer(b"".join(rb.column(k).to_pylist()), dtype="<u2").reshape(-1, M) for k in ("ra", "rb"))
                 yield rb.select(["a", "b"]).filter(pa.array(estimate(a, b, rb.column("na").to_numpy(), rb.column("nb").to_numpy()) >= CUT))
@@ -171,9 +179,10 @@ def _sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle:
     rows = rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in frames:
-            got = shingle_sets(rb.column(1).to_pylist(), shingle)
-            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array([s.tobytes() for s in got], pa.binary())], names=["id", "s"])
+        for ids, texts in _slices(frames):
+            got = shingle_sets(texts, shingle)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["id", "s"])
+        trim()
 
     return materialize(rows.mapInArrow(run, "id long, s binary"), "sets")
 
@@ -193,6 +202,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shin
                 both = int((b[np.searchsorted(b, a).clip(0, len(b) - 1)] == a).sum()) if len(a) else 0
                 keep.append(bool(both) and 100 * both >= percent * (len(a) + len(b) - both))
             yield rb.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        trim()
 
     side = lambda k: sets.select(F.col("id").alias(k), F.col("s").alias(f"s{k}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
@@ -247,6 +257,8 @@ def _between(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int)
                 if 100 * both >= percent * (len(a) + len(b) - both):
                     out.append((int(rep[i]), int(rep[j])))
                     comp[comp == comp[j]] = comp[i]
+        del sets_, regs
+        trim()
         return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
 
     return full.groupBy("key", "l", "r").applyInArrow(run, "a long, b long").distinct()

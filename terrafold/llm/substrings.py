@@ -9,7 +9,7 @@ the highest level that has any; equal windows have equal anchors.
 
 Two corpus-wide rounds follow the naming (see batches for how they travel). The first counts anchors: one
 that a single document has ends the search for its windows. The second looks only at windows whose anchor is
-shared, verifies them by a hash of all their words, and finds the least document that has each.
+shared, verifies them by 96 bits of hashes of all their words, and finds the least document that has each.
 A word is removed if a window that covers it also starts in a document with a smaller id.
 
 Cases: a null or empty text has no words; a null id is larger than all others and stays null; rows with equal
@@ -23,14 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from terrafold.llm.batches import NO_ID, buckets_for, by_bucket, load_batch, pack, pack_ints, unpack_ints
+from terrafold.llm.batches import NO_ID, buckets_for, by_bucket, fresh, load_batch, load_rows, pack, pack_ints, trim, unpack_ints
 from terrafold.llm.words import combine, distinct, find_words, hash_words, join_texts, mix
 from terrafold.session import materialize
 
 _U = np.uint64
-WINDOW = 13
+WINDOW, CHUNK = 13, 1 << 16
 _SIGN = _U(1 << 63)
 
 
@@ -82,12 +82,25 @@ def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 def anchors(names: np.ndarray, first: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     """The anchor of each window that starts at one of the words at."""
-    lo, hi = at, at + window
-    out = np.zeros(len(at), dtype=np.uint64)
-    levels = [(names, lo, hi, np.arange(len(at)))]
-    live = np.arange(len(at))
+    levels = []
     for r in range(rounds_for(window)):
-        names, first, run_of, right, symbol_of = compress(names, first, r)
+        below = names
+        names, first, run_of, right, symbol_of = compress(below, first, r)
+        levels.append((mix(names), run_of, right, symbol_of))
+        if not r:
+            words = mix(below)
+    if not levels:
+        words = mix(names)
+    out = np.zeros(len(at), dtype=np.uint64)
+    for k in range(0, len(at), CHUNK):
+        out[k : k + CHUNK] = _anchors(words, levels, at[k : k + CHUNK], window)
+    return out
+
+
+def _anchors(words: np.ndarray, levels: list[tuple], at: np.ndarray, window: int) -> np.ndarray:
+    lo, hi, live = at, at + window, np.arange(len(at))
+    found = [(words, lo, hi, live)]
+    for names, run_of, right, symbol_of in levels:
         # the outer runs may go on outside; then an outer letter may be taken by a neighbour outside
         lo, hi = run_of[lo] + 1, run_of[hi - 1]
         ok = lo < hi
@@ -95,14 +108,15 @@ def anchors(names: np.ndarray, first: np.ndarray, at: np.ndarray, window: int) -
         lo, hi = lo + right[lo], hi - ~right[hi - 1]
         ok = lo < hi
         lo, hi, live = symbol_of[lo[ok]], symbol_of[hi[ok] - 1] + 1, live[ok]
-        levels.append((names, lo, hi, live))
+        found.append((names, lo, hi, live))
+    out = np.zeros(len(at), dtype=np.uint64)
     done = np.zeros(len(at), dtype=bool)
-    for level in range(len(levels) - 1, -1, -1):
-        names, lo, hi, live = levels[level]
+    for level in range(len(found) - 1, -1, -1):
+        names, lo, hi, live = found[level]
         todo = ~done[live]
         if todo.any():
             who = live[todo]
-            out[who] = mix(_least(mix(names), lo[todo], hi[todo]) + _U(level))
+            out[who] = mix(_least(names, lo[todo], hi[todo]) + _U(level))
             done[who] = True
     return out
 
@@ -121,6 +135,23 @@ def grams(names: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
+def checked(names: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct windows from each of at, by 96 bits: sorted keys, their checks, and where each window is."""
+    keys = grams(names, at, window)
+    checks = (grams(mix(names ^ _U(0x6A09E667F3BCC909)), at, window) >> _U(32)).astype(np.uint32)
+    return _distinct_pairs(keys, checks)
+
+
+def _distinct_pairs(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((checks, keys))
+    k, c = keys[order], checks[order]
+    new = np.ones(len(k), dtype=bool)
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    where = np.empty(len(k), dtype=np.int64)
+    where[order] = np.cumsum(new) - 1
+    return k[new], c[new], where
+
+
 class Parsed:
     """A batch's documents with their words and windows."""
 
@@ -177,10 +208,13 @@ def _shared(table: pa.Table) -> pa.Table:
 
 
 def _earliest(table: pa.Table) -> pa.Table:
-    """Round two: the least document of each window. extra has the least of each batch."""
-    rows, keys, distinct, where = _gather(table)
-    docs = np.concatenate([unpack_ints(r[3]) for r in rows])
-    least = np.full(len(distinct), _U(0xFFFFFFFFFFFFFFFF))
+    """Round two: the least document of each window. extra has the windows' checks and the least of each batch."""
+    rows = sorted(zip(*(table[c].to_pylist() for c in ("batch", "bucket", "keys", "extra")), strict=True))
+    keys = [unpack_ints(r[2]) for r in rows]
+    checks = np.concatenate([np.frombuffer(r[3], dtype="<u4", count=len(k)) for r, k in zip(rows, keys, strict=True)])
+    docs = np.concatenate([unpack_ints(r[3][4 * len(k) :]) for r, k in zip(rows, keys, strict=True)])
+    distinct_, _, where = _distinct_pairs(np.concatenate(keys), checks)
+    least = np.full(len(distinct_), _U(0xFFFFFFFFFFFFFFFF))
     np.minimum.at(least, where, docs)
     out, at = [], 0
     for (batch, bucket, *_), k in zip(rows, keys, strict=True):
@@ -189,12 +223,20 @@ def _earliest(table: pa.Table) -> pa.Table:
     return _answers(out, 2)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, whole: bool = False) -> DataFrame:
-    """Rows (doc_id, n_words, n_removed, text): text has the kept words, joined by one space.
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """Rows (doc_id, n_words, n_removed, text): text has the kept words, joined by one space."""
+    return _dedup(docs, id_col, text_col, window, False)
 
-    whole: a text that loses no word is returned as it is.
-    """
-    packed = pack(docs, id_col, text_col)
+
+def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The documents with repeated words removed and their other columns; a text that loses no word stays as it is."""
+    return _dedup(docs, id_col, text_col, window, True)
+
+
+def _dedup(docs: DataFrame, id_col: str, text_col: str, window: int, whole: bool) -> DataFrame:
+    """whole: return the documents' own columns, and texts that lose no word as they are."""
+    packed = pack(docs, id_col, text_col, carry=whole)
+    names = docs.columns
     buckets = buckets_for(packed)
 
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,6 +253,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                 np.maximum.at(high, where, doc)
                 twice = low < high
                 yield _blobs([(b, batch, pack_ints(keys[s]), np.packbits(twice[s]).tobytes()) for b, s in by_bucket(keys, buckets)])
+                del p, own, anchor, doc, keys, where, low, high, twice
+                trim()
 
     def candidates(payload: bytes, answers: dict[int, bytes]) -> tuple[Parsed, np.ndarray]:
         p = Parsed(payload, window)
@@ -219,22 +263,33 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         hit = np.concatenate(shared).astype(bool) if shared else np.zeros(0, dtype=bool)
         return p, np.flatnonzero(hit[np.searchsorted(keys, p.anchor)]) if len(keys) else np.zeros(0, dtype=np.int64)
 
+    def tidy(fn):
+        """fn, giving its memory back when it is done."""
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            fresh()
+            out = fn(left, right)
+            trim()
+            return out
+
+        return run
+
     def of_round(right: pa.Table, round_: int) -> dict[int, bytes]:
         return {b: a for b, r, a in zip(right["bucket"].to_pylist(), right["round"].to_pylist(), right["answer"].to_pylist(), strict=True) if r == round_}
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
         p, cand = candidates(left["payload"][0].as_py(), of_round(right, 1))
-        keys, where = np.unique(grams(p.names, p.at[cand], window), return_inverse=True)
+        keys, checks, where = checked(p.names, p.at[cand], window)
         least = np.full(len(keys), _U(0xFFFFFFFFFFFFFFFF))
         np.minimum.at(least, where, _order(p.ids)[p.doc[cand]])
-        rows = [(b, left["batch"][0].as_py(), pack_ints(keys[s]), pack_ints(least[s])) for b, s in by_bucket(keys, buckets)]
+        rows = [(b, left["batch"][0].as_py(), pack_ints(keys[s]), checks[s].astype("<u4").tobytes() + pack_ints(least[s])) for b, s in by_bucket(keys, buckets)]
         return pa.Table.from_batches([_blobs(rows)])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         p, cand = candidates(left["payload"][0].as_py(), of_round(right, 1))
         gone = np.zeros(len(p.names) + 1, dtype=np.int32)
         if len(cand):
-            keys, where = np.unique(grams(p.names, p.at[cand], window), return_inverse=True)
+            keys, _, where = checked(p.names, p.at[cand], window)
             found = of_round(right, 2)
             least = np.concatenate([unpack_ints(found[b]) for b, _ in by_bucket(keys, buckets)])
             hit = p.at[cand[least[where] < _order(p.ids)[p.doc[cand]]]]
@@ -251,25 +306,20 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
             if removed[i]:
                 words = [w for w, c in zip(words, covered[p.first[i] : p.first[i + 1]].tolist(), strict=True) if not c]
             out.append(b" ".join(words))
+        if whole:
+            rest = load_rows(left["extra"][0].as_py())
+            text = pa.array(out, pa.binary()).cast(pa.string())
+            others = iter(rest.columns)
+            return pa.table([text if c == text_col else next(others) for c in names], names=names)
         keys = pa.array(p.ids, pa.int64(), mask=p.ids == NO_ID)
         return pa.table({"doc_id": keys, "n_words": pa.array(p.words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "text": pa.array(out, pa.binary()).cast(pa.string())})
 
     rows = packed.select("batch", "payload")
     one = materialize(rows.mapInArrow(count, _ROWS).groupBy("bucket").applyInArrow(_shared, _ANSWER), "anchors")
-    found = rows.groupBy("batch").cogroup(one.groupBy("batch")).applyInArrow(verify, _ROWS)
+    found = rows.groupBy("batch").cogroup(one.groupBy("batch")).applyInArrow(tidy(verify), _ROWS)
     two = found.groupBy("bucket").applyInArrow(_earliest, _ANSWER)
     both = one.unionByName(two).groupBy("batch")
-    return rows.groupBy("batch").cogroup(both).applyInArrow(finish, "doc_id long, n_words long, n_removed long, text string")
-
-
-def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """The documents with repeated words removed; a text that loses none stays as it is.
-
-    The other columns join by id, so of rows with equal ids all get the first one's.
-    """
-    names = docs.columns
-    got = dedup(docs, id_col, text_col, window, whole=True).select(F.col("doc_id").alias("__sub_id"), F.col("text").alias("__sub_text"))
-    others = [F.col(f"`{c}`").alias(f"__sub_{k}") for k, c in enumerate(names) if c != text_col]
-    rest = docs.select(F.col(f"`{id_col}`").cast("long").alias("__sub_key"), *others).dropDuplicates(["__sub_key"])
-    out = got.join(rest, F.col("__sub_id").eqNullSafe(F.col("__sub_key")))
-    return out.select(*(F.col("__sub_text" if c == text_col else f"__sub_{k}").alias(c) for k, c in enumerate(names)))
+    if not whole:
+        return rows.groupBy("batch").cogroup(both).applyInArrow(tidy(finish), "doc_id long, n_words long, n_removed long, text string")
+    schema = StructType([StructField(f.name, StringType() if f.name == text_col else f.dataType) for f in docs.schema.fields])
+    return packed.select("batch", "payload", "extra").groupBy("batch").cogroup(both).applyInArrow(tidy(finish), schema)
