@@ -1,38 +1,69 @@
 """The corpus pipeline: quality rules, near-duplicates, repeated substrings, packing.
 
-Every stage works on all that its predecessor kept. STAGES' functions take (spark, docs, sf_dir); all but the
+Every stage works on all that its predecessor kept. A stage's result must be written before the next stage is called on
+what was written; frames that are chained unwritten keep their tables. STAGES' functions take (spark, docs, sf_dir); all but the
 last return the columns of documents. run() chains them over the documents of a folder.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.llm import neardup, packing, quality, substrings
 from terrafold.llm.queries import PACK_END, tokenizer
-from terrafold.session import materialize
+from terrafold.session import discard, made, materialize
 
 #: Near-duplicates here are documents whose sets of five-word shingles have a similarity of 0.8 or more.
 SHINGLE = 5
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Tables that earlier stages have put into the shared folder.
+_HELD: list[str] = []
+
+
+def stage(fn: Stage) -> Stage:
+    """Deletes what earlier stages left in the shared folder, if docs doesn't read it: then their results are written."""
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        files = docs.inputFiles() if _HELD else []
+        names = [path.rpartition("/")[2] for path in _HELD]
+        if _HELD and not any(name in file for file in files for name in names):
+            discard(spark, _HELD)
+            _HELD.clear()
+        before = len(made())
+        out = fn(spark, docs, sf_dir)
+        _HELD.extend(made(before))
+        return out
+
+    return run
+
+
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail a rule of their own or whose host is rejected."""
     return quality.apply(docs)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the least id, of each group of near-duplicates."""
     return neardup.apply(docs, shingle=SHINGLE)
 
 
+@stage
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes words of passages that start in an earlier document too; n_chars follows the text."""
     out = substrings.apply(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
+@stage
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the texts' tokens into sequences."""
     return packing.pack(docs, tokenizer("word_bpe_49k.json"), end_id=PACK_END)
@@ -47,6 +78,6 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for name, work in STAGES[:-1]:
+        docs = materialize(work(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
