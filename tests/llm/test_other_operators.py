@@ -154,7 +154,8 @@ def test_pipeline(spark, docs, tmp_path):
     frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
     columns = frame.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, frame, str(tmp_path))
+        stage(spark, frame, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")  # written before the next stage, as run() does
+        after = spark.read.parquet(f"{tmp_path}/{name}")
         assert after.columns == columns and after.count() <= frame.count(), name
         frame = after
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
