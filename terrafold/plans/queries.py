@@ -221,7 +221,7 @@ def _rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, k = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("o_orderkey")
     rx, ry = ((k * 41) % 23040).cast("double") / 64 - 180, ((k * 59) % 11520).cast("double") / 64 - 90
     box = F.struct(rx.alias("xmin"), ry.alias("ymin"), (rx + (k % 4 + 1).cast("double") / 2).alias("xmax"), (ry + (k % 3 + 1).cast("double") / 2).alias("ymax"))
-    return o.where(k % 4 == 0).select(k.alias("o"), F.col("o_orderpriority").alias("priority"), box.alias("rect"))
+    return o.select(k.alias("o"), F.col("o_orderpriority").alias("priority"), box.alias("rect"))
 
 
 _RECTS = """, r0 AS (SELECT o_orderkey AS o, o_orderpriority AS priority, CAST((o_orderkey * 41) % 23040 AS DOUBLE) / 64 - 180 AS x0, CAST((o_orderkey * 59) % 11520 AS DOUBLE) / 64 - 90 AS y0 FROM orders WHERE o_orderkey % 4 = 0),

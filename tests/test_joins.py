@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrafold.functions import columns as C
 from terrafold.operators.spatial import distance_join, spatial_filter, spatial_join
+from terrafold.plans import queries as Q
 from terrafold.streaming.extents import windowed_extent
 
 BOX = "struct<xmin:double,ymin:double,xmax:double,ymax:double>"
@@ -47,6 +48,31 @@ def test_outer_joins(spark, how):
         assert sorted(ids) == sorted(i for i, _ in ra if (i in hits) == (how == "left_semi"))
 
 
+@pytest.mark.parametrize("name", ["spatial_join", "spatial_join_boxes", "spatial_join_left", "spatial_join_semi", "spatial_join_anti", "flagship"])
+def test_registered_joins_take_all_orders(spark, tmp_path, name):
+    orders = [(o, f"{o % 5}") for o in range(1, 3001)]
+    customers = [(k,) for k in range(1, 301)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(customers, "c_custkey long").withColumn("c_acctbal", F.col("c_custkey").cast("double")).write.parquet(f"{tmp_path}/customer.parquet")
+    points = [(r.k, r.x, r.y) for r in Q.base(spark, str(tmp_path)).collect()]
+    rects = [(o, p, x, y, x + (o % 4 + 1) / 2, y + (o % 3 + 1) / 2) for o, p in orders for x, y in [((o * 41) % 23040 / 64 - 180, (o * 59) % 11520 / 64 - 90)]]
+    pairs = [(k, x, y, r) for k, x, y in points for r in rects if r[2] <= x <= r[4] and r[3] <= y <= r[5]]
+    assert len({r[0] % 4 for *_, r in pairs}) == 4
+    hit, got = {k for k, *_ in pairs}, Q.QUERIES[name](spark, str(tmp_path)).collect()
+    if name == "flagship":
+        want = []
+        for p in {r[1] for *_, r in pairs}:
+            own = [(x, y, r) for _, x, y, r in pairs if r[1] == p]
+            xs, ys = [x for x, _, _ in own], [y for _, y, _ in own]
+            want.append((p, len(own), sum((r[4] - r[2]) * (r[5] - r[3]) for *_, r in own), min(xs), min(ys), max(xs), max(ys)))
+        assert sorted(tuple(r) for r in got) == sorted(want)
+    elif name in ("spatial_join_semi", "spatial_join_anti"):
+        assert sorted(r.k for r in got) == sorted(k for k, *_ in points if (k in hit) == (name == "spatial_join_semi"))
+    else:
+        rest = [(k, -1) for k, *_ in points if k not in hit] if name == "spatial_join_left" else []
+        assert sorted((r.k, r.o) for r in got) == sorted([(k, r[0]) for k, _, _, r in pairs] + rest)
+
+
 def test_distance_and_empty_sides(spark):
     p = spark.range(100).select(F.col("id").alias("i"), C.st_point(F.col("id") % 10, F.floor(F.col("id") / 10)).alias("g"))
     q = p.select(F.col("i").alias("j"), F.col("g").alias("h"))
