@@ -83,6 +83,19 @@ def test_components(spark):
     assert links.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("order", ["descending", "random"])
+def test_components_of_a_long_chain(spark, monkeypatch, order):
+    ids = list(range(300))
+    random.Random(5).shuffle(ids) if order == "random" else ids.reverse()
+    ids.remove(0)
+    ids = [0, *ids]  # the least id at one end: it has the whole chain to go
+    written = []
+    monkeypatch.setattr(links, "materialize", lambda df, tag, write=links.materialize: (written.append(tag), write(df, tag))[1])
+    got = links.components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")).collect()
+    assert sorted((x.node, x.component) for x in got) == [(k, 0) for k in range(300)]
+    assert len(written) < 40
+
+
 URLS = [None, "", "no scheme", "http://a.net", "http://a.net/", "HTTP://A.NET/x?y#z", "https://m.example.net/en/1", "https://example.net/en", "https://example.net/EN/1", "https://notexample.com/de/1", "https://x.example.com/de/a", "ftp://org/fr/", "http://a.b.org/fr/x/y", "http://a.b.org?/fr/", "http://xnet/", "x://y://net/", "http://user@h.net:80/p", "http://İ.ORG/fr/é"]
 
 
