@@ -175,6 +175,13 @@ def test_estimates_are_near_the_similarity():
     assert (union == np.maximum(regs[0], regs[1])).all()  # sketches merge
 
 
+def test_miss_rates_at_the_threshold():
+    """The estimate's cut before the exact sets must lose far less than the bands do, whose rate the docstring states."""
+    bands = (1 - 0.8**neardup.ROWS) ** neardup.BANDS
+    tail = sum(math.comb(neardup.M, k) * 0.8**k * 0.2 ** (neardup.M - k) for k in range(neardup.M + 1) if k < neardup.CUT * neardup.M)
+    assert tail < bands / 1000 and f"{bands:.1e}".replace("e-0", "e-") in neardup.__doc__
+
+
 def test_near_duplicate_stage(docs, empty):
     kept = neardup.apply(docs, shingle=2)
     assert kept.columns == docs.columns
