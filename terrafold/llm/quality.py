@@ -12,6 +12,8 @@ an empty result; other columns, whatever their names, are not read by features()
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,29 +31,27 @@ _F = "__qr_"
 def _repeated(words: Column) -> Column:
     """Words in three-word windows that a text has twice or more.
 
-    Windows are sorted by hash with the position in the low bits; equal neighbours are repeats.
+    Windows are sorted by hash, then by their words, then by position; neighbours of equal words are repeats, so no
+    count depends on a hash.
     """
     n = F.size(words)
-
-    def covered(hashes: Column) -> Column:
-        bits = F.length(F.bin(n.cast("long")))
-        sized = F.transform(hashes, lambda h, i: F.call_function("shiftleft", h, bits).bitwiseOR(i.cast("long")))
-        in_order = F.array(F.sort_array(sized))
-
-        def marks(s: Column) -> Column:
-            cut = lambda x: F.call_function("shiftright", x, bits)
-            same = lambda j, x: F.coalesce(cut(F.get(s, j)) == cut(x), F.lit(False))
-            hit = F.filter(s, lambda x, j: same(j - 1, x) | same(j + 1, x))
-            low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - F.lit(1).cast("long")
-            at = F.sort_array(F.transform(hit, lambda x: x.bitwiseAND(low)))
-            start = F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
-            step = lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3).cast("long"), x - a["last"])).alias("n"))
-            return F.aggregate(at, start, step, lambda a: a["n"])
-
-        return F.transform(in_order, marks)[0]
-
-    windows = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
-    return F.when(n < 3, F.lit(0).cast("long")).otherwise(F.transform(F.array(windows), covered)[0])
+    fields = ("h", "a", "b", "c")
+
+    def window(i: Column) -> Column:
+        a, b, c = (F.get(words, i + k) for k in range(3))
+        return F.struct(F.xxhash64(a, b, c).alias("h"), a.alias("a"), b.alias("b"), c.alias("c"), i.cast("long").alias("at"))
+
+    def marks(s: Column) -> Column:
+        equal = lambda x, y: functools.reduce(lambda p, q: p & q, (x[k] == y[k] for k in fields))
+        same = lambda j, x: F.coalesce(equal(F.get(s, j), x), F.lit(False))
+        hit = F.filter(s, lambda x, j: same(j - 1, x) | same(j + 1, x))
+        at = F.sort_array(F.transform(hit, lambda x: x["at"]))
+        start = F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
+        step = lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3).cast("long"), x - a["last"])).alias("n"))
+        return F.aggregate(at, start, step, lambda a: a["n"])
+
+    windows = F.transform(F.sequence(F.lit(0), n - 3), window)
+    return F.when(n < 3, F.lit(0).cast("long")).otherwise(F.transform(F.array(F.sort_array(windows)), marks)[0])
 
 
 def features(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -239,6 +239,12 @@ def test_quality(docs, empty, spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_repeats_are_told_apart_by_words(spark, monkeypatch):
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *cols: F.lit(5).cast("long"))  # every hash collides
+    docs = spark.createDataFrame([("a b c d e f g",), ("a b c x a b c y",)], "text string")
+    assert [r.n_repeat_words for r in quality.features(docs).collect()] == [0, 6]
+
+
 def test_host_verdicts(spark):
     good, bad = " ".join(f"w{i}" for i in range(80)), "short"
     rows = [(i, good if i % 50 else bad, f"good{i % 8}") for i in range(800)] + [(1000 + i, bad if i % 20 else good, "farm") for i in range(200)] + [(2000, bad, "tiny"), (2001, good, "one"), (2002, good, None)]
