@@ -224,7 +224,7 @@ def _rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(k.alias("o"), F.col("o_orderpriority").alias("priority"), box.alias("rect"))
 
 
-_RECTS = """, r0 AS (SELECT o_orderkey AS o, o_orderpriority AS priority, CAST((o_orderkey * 41) % 23040 AS DOUBLE) / 64 - 180 AS x0, CAST((o_orderkey * 59) % 11520 AS DOUBLE) / 64 - 90 AS y0 FROM orders WHERE o_orderkey % 4 = 0),
+_RECTS = """, r0 AS (SELECT o_orderkey AS o, o_orderpriority AS priority, CAST((o_orderkey * 41) % 23040 AS DOUBLE) / 64 - 180 AS x0, CAST((o_orderkey * 59) % 11520 AS DOUBLE) / 64 - 90 AS y0 FROM orders),
 r AS (SELECT *, x0 + CAST(o % 4 + 1 AS DOUBLE) / 2 AS x1, y0 + CAST(o % 3 + 1 AS DOUBLE) / 2 AS y1 FROM r0)
 """
 

@@ -1,6 +1,8 @@
 """The driver's queries against their SQL, on the smallest tables."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -39,3 +41,8 @@ def test_same_as_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["priority", "pairs", "area", "xmin", "ymin", "xmax", "ymax"]
+
+
+def test_a_missing_library_leaves_the_spatial_queries():
+    code = "import sys; sys.modules['zstandard'] = None\nimport __spark_entry__ as e\nassert set(e.queries()) == set(e.SPATIAL_QUERIES) and set(e.oracle_sql()) == set(e.SPATIAL_ORACLES), set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.abspath(entry.__file__)))
