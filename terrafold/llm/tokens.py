@@ -5,7 +5,11 @@ surely lies between splits: a word for files that drop white space, a run of whi
 after it for byte-level files. Units are found, hashed (twice 64 bits) and made distinct on arrays; a bounded
 cache of sorted hashes has the ids of units seen before, and the library encodes the others. A text for which
 a unit could differ from its context (white space beyond ASCII next to a unit's edge) is encoded as a whole.
-Special tokens' strings in a text are ordinary text.
+
+The string of an added token inside a text is that token, as the library has it by default: the library cuts texts
+there before anything else, so the parts between are encoded like texts, and the token's id stands between them.
+A file whose added tokens do more than that (strip white space, ask for word borders, match normalised text) has
+every text that may hold one encoded as a whole.
 """
 
 from __future__ import annotations
@@ -43,8 +47,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.drops_space = drops_space
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content.encode(): i for i, t in added.items()}
+        plain = all(not (t.lstrip or t.rstrip or t.single_word or t.normalized) for t in added.values())
+        longest = b"|".join(re.escape(c) for c in sorted(self.added, key=len, reverse=True))
+        self.cut = re.compile(b"(" + longest + b")") if added and plain else None
+        self.odd = re.compile(longest, re.I) if added and not plain else None
         self.clock = 0
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -155,21 +164,35 @@ class Encoder:
         edge = np.concatenate([[0], np.cumsum(size)])[first]
         return [ids[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
+    def _spaced(self, text: bytes) -> bool:
+        return not self.drops_space and _OTHER_SPACE.search(text) is not None
+
     def encode(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
         """In order, by slices of bounded bytes."""
         held: list[bytes | None] = []
         whole: dict[int, bytes] = {}
+        cuts: dict[int, list[bytes]] = {}  # texts that hold added tokens: their parts, in turn with the tokens
         size = 0
 
         def flush() -> Iterator[np.ndarray]:
-            got = self._slice(held)
-            if whole:
-                for i, ids in zip(whole, self._encode(list(whole.values())), strict=True):
+            pieces = [x for parts in cuts.values() for x in parts[::2]]
+            got = self._slice([*held, *pieces])
+            odd = [*whole, *(k for k, x in enumerate(pieces, len(held)) if self._spaced(x))]
+            if odd:
+                texts = [*whole.values(), *(pieces[k - len(held)] for k in odd[len(whole) :])]
+                for i, ids in zip(odd, self._encode(texts), strict=True):
                     got[i] = np.array(ids, dtype=np.uint32)
-            yield from got
+            rest = iter(got[len(held) :])
+            for i, parts in cuts.items():
+                ids = [np.array([self.added[x]], dtype=np.uint32) if k % 2 else next(rest) for k, x in enumerate(parts)]
+                got[i] = np.concatenate(ids)
+            yield from got[: len(held)]
 
         for t in texts:
-            if t and not self.drops_space and _OTHER_SPACE.search(t):
+            if t and self.cut and self.cut.search(t):
+                cuts[len(held)] = self.cut.split(t)
+                held.append(None)
+            elif t and (self._spaced(t) or (self.odd and self.odd.search(t))):
                 whole[len(held)] = t
                 held.append(None)
             else:
@@ -177,7 +200,7 @@ class Encoder:
             size += len(t) if t else 0
             if size >= SLICE_BYTES:
                 yield from flush()
-                held, whole, size = [], {}, 0
+                held, whole, cuts, size = [], {}, {}, 0
         if held:
             yield from flush()
 

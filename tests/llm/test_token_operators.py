@@ -17,11 +17,22 @@ WORD, BYTE, PIECE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "b
 def direct(path):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(path)  # nothing else is set
     return [e.ids for e in t.encode_batch([x or "" for _, x in DOCS], add_special_tokens=False)]
 
 
+MARKED = ["<|endoftext|>", "a <|endoftext|> b", "word<|endoftext|>word", " <|endoftext|>", "<|endoftext|> \n", "<|endoftext|><|endoftext|>x", "<|startoftext|> a b<|startoftext|>", "x<|ENDOFTEXT|>y", "<|endoftext", "a\u00a0<|endoftext|>\u3000b  c", "it's<|endoftext|>'s <|startoftext|>  2", "a" * 3000 + "<|endoftext|>" + " b" * 3000]
+
+
+@pytest.mark.parametrize(("path", "drops"), [(WORD, True), (BYTE, False)])
+def test_strings_of_added_tokens(path, drops):
+    from tokenizers import Tokenizer
+
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(MARKED, add_special_tokens=False)]
+    assert [x.tolist() for x in Encoder(path, drops).encode([t.encode() for t in MARKED])] == want
+    assert any(i >= 49406 for ids in want for i in ids)
+
+
 @pytest.mark.parametrize(("path", "drops"), [(WORD, True), (BYTE, False)])
 @pytest.mark.parametrize("cache", [1_500_000, 300])
 def test_cached_units_give_the_library_s_ids(monkeypatch, path, drops, cache):
