@@ -65,6 +65,28 @@ def test_vector_edges(spark):
         assert np.allclose(q @ q.T, np.eye(dim)) and vectors.edges_of(dim)[-1] == dim
 
 
+def test_null_and_repeated_ids(spark):
+    rows = [(None, [1.0, 0.0], 0), (None, [0.0, 1.0], 0), (3, [1.0, 0.01], 0), (7, [-1.0, 0.0], 0), (7, [0.0, -1.0], 0), (8, [0.0, -1.0], 0), (9, [0.01, 1.0], 0), (9, None, 0), (None, None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((tuple(r) for r in vectors.classes(df).collect()), key=str)
+    want = [(None, 1, 3, False), (None, 1, 9, False), (3, 1, 3, True), (7, 0, 7, True), (7, 1, 7, True), (8, 1, 7, False), (9, 1, 9, True), (9, 0, 9, True), (None, 0, None, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_range_joins_measure_few_pairs_and_lose_none():
+    r = np.random.default_rng(1)
+    x = r.standard_normal((1500, 64))
+    x[750:] = x[:750] + 0.3 * r.standard_normal((750, 64))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    seen = []
+    got = [(a, b) for p, q in vectors.near_pairs(x, len(x), 0.93, seen) for a, b in zip(p.tolist(), q.tolist(), strict=True)]
+    i, j = np.nonzero(np.triu(x @ x.T >= 0.93, 1))
+    assert sorted(got) == list(zip(i.tolist(), j.tolist(), strict=True)) and len(got) > 100
+    assert len(seen) == 8 and max(seen) < 0.01 * 1500 * 1499 / 2
+    cut = [(a, b) for p, q in vectors.near_pairs(x, 700, 0.93) for a, b in zip(p.tolist(), q.tolist(), strict=True)]
+    assert sorted(cut) == [(a, b) for a, b in sorted(got) if a < 700 <= b]
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(50)]
