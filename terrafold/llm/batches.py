@@ -6,6 +6,10 @@ packed into batches of bounded bytes, written once to the shared folder. Every b
 distinct keys once, sorted, a compressed blob for each bucket of the key space; the bucket answers with a
 blob in the same order, and the batch's own text meets the answers by batch number. A key is in a batch's
 blobs at most once, so one hot key adds one entry for each batch, never one for each row.
+
+A batch sends to FAN buckets at most. A key space of more buckets is reached in steps: the blobs of FAN batches for
+one bucket are merged (as many keys as one batch has) and sent on to FAN parts of that bucket, and the answers
+return the same way. So rows are in proportion to batches, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from terrafold.session import materialize, plan_bytes, ship
 
 #: Text bytes and documents that close a batch; a longer document is a batch of its own.
 BATCH_BYTES, BATCH_DOCS = 6 << 20, 8192
+#: Buckets that a batch sends to, and batches whose blobs are merged before they are sent on. A power of two.
+FAN = 1024
 #: Stands for a null id: it is larger than all others.
 NO_ID = np.iinfo(np.int64).max
 
@@ -76,6 +82,17 @@ def unpack_ints(blob: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys by their differences."""
+    return (keys[:1].astype("<u8").tobytes() + pack_ints(np.diff(keys))) if len(keys) else b""
+
+
+def unpack_keys(blob: bytes) -> np.ndarray:
+    if not blob:
+        return np.zeros(0, dtype=np.uint64)
+    return np.cumsum(np.concatenate([np.frombuffer(blob[:8], dtype="<u8"), unpack_ints(blob[8:])]), dtype=np.uint64)
+
+
 def dump_batch(ids: list[int | None], texts: list[bytes | None], level: int = 3) -> bytes:
     n = len(ids)
     head = np.array([n], dtype="<i8").tobytes() + np.array([NO_ID if i is None else i for i in ids], dtype="<i8").tobytes()
@@ -163,15 +180,150 @@ def load_rows(extra: bytes) -> pa.Table:
 
 
 def buckets_for(packed: DataFrame, least: int = 64) -> int:
-    """How many buckets of the key space: in proportion to the packed bytes, each bucket's keys within one task's memory."""
+    """How many buckets of the key space, a power of two: in proportion to the packed bytes, each bucket's keys within one task's memory."""
     total = plan_bytes(packed)
-    return max(least, total // min(16 << 20, max(3 << 20, total // 1000)) + 1)
+    return 1 << (max(least, total // min(16 << 20, max(3 << 20, total // 1000)) + 1) - 1).bit_length()
+
+
+def tasks_for(packed: DataFrame) -> tuple[int, int]:
+    """Number of batches, and of the tasks that batches are dealt to when they meet their answers."""
+    n = packed.count()
+    return n, min(max(8, n // 3), 1 << 16)
 
 
 def by_bucket(keys: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
-    """keys are sorted; buckets are equal ranges of the 64-bit space."""
-    edges = (np.arange(1, n, dtype=np.float64) / n * 2.0**64).astype(np.uint64)
-    at = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-    for b in range(n):
-        if at[b] < at[b + 1]:
-            yield b, slice(int(at[b]), int(at[b + 1]))
+    """keys are sorted; buckets are the n equal ranges of the 64-bit space, n a power of two."""
+    if not len(keys):
+        return
+    number = keys >> np.uint64(64 - (n.bit_length() - 1)) if n > 1 else np.zeros(len(keys), dtype=np.uint64)
+    edge = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(keys)]
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        yield int(number[a]), slice(a, b)
+
+
+ROWS = "bucket long, batch long, part int, keys binary, check binary, extra binary"
+ANSWER = "bucket long, batch long, part int, answer binary, types long, tokens long"
+
+
+def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of ROWS."""
+    cols = list(zip(*rows, strict=True)) or [()] * 6
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in ROWS.split(", ")])
+
+
+def answers_of(rows: list[tuple]) -> pa.Table:
+    """Rows of ANSWER; the last two columns may be left out."""
+    cols = list(zip(*[(*r, 0, 0)[:6] for r in rows], strict=True)) or [()] * 6
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+    return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in ANSWER.split(", ")])
+
+
+def distinct_pairs(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct pairs and where each is among them."""
+    order = np.argsort(key, kind="stable")
+    k, c = key[order], check[order]
+    if ((k[1:] == k[:-1]) & (c[1:] != c[:-1])).any():  # different checks of one key: rare
+        order = np.lexsort((check, key))
+        k, c = key[order], check[order]
+    head = np.ones(len(k), dtype=bool)
+    head[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    where = np.empty(len(k), dtype=np.int64)
+    where[order] = np.cumsum(head) - 1
+    return k[head], c[head], where
+
+
+class Fold:
+    """What a bucket does with the values that batches send with a key.
+
+    decode and encode: a blob's values; fold: one value of each key; settle: a tuple of arrays with the answers of
+    each key, from the values with the part of each; reply and read: an answer's blob; stats: two sums over keys.
+    """
+
+    def decode(self, extra: bytes, n: int) -> np.ndarray:
+        return unpack_ints(extra)
+
+    def encode(self, values: np.ndarray) -> bytes:
+        return pack_ints(values)
+
+    def fold(self, values: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
+        raise NotImplementedError
+
+    def settle(self, values: np.ndarray, part: np.ndarray, where: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+        return (self.fold(values, where, n),)
+
+    def reply(self, answers: tuple[np.ndarray, ...], part: int) -> bytes:
+        return self.encode(answers[0])
+
+    def read(self, blob: bytes, n: int, part: int) -> tuple[np.ndarray, ...]:
+        return (self.decode(blob, n),)
+
+    def stats(self, keys: np.ndarray, answers: tuple[np.ndarray, ...]) -> tuple[int, int]:
+        return 0, 0
+
+
+class _Gathered:
+    """The blobs of one bucket."""
+
+    def __init__(self, table: pa.Table, fold: Fold) -> None:
+        self.rows = sorted(zip(*(table[c].to_pylist() for c in ("batch", "bucket", "part", "keys", "check", "extra")), strict=True))
+        keys = [unpack_keys(r[3]) for r in self.rows]
+        sizes = [len(k) for k in keys]
+        edge = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+        self.slices = [slice(a, b) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        self.values = np.concatenate([fold.decode(r[5], n) for r, n in zip(self.rows, sizes, strict=True)])
+        self.part = np.repeat(np.array([r[2] for r in self.rows]), sizes)
+        flat = np.concatenate(keys)
+        if self.rows[0][4]:
+            check = np.concatenate([np.frombuffer(unsqueeze(r[4]), dtype="<u4") for r in self.rows])
+            self.keys, self.check, self.where = distinct_pairs(flat, check)
+        else:
+            self.keys, self.where = np.unique(flat, return_inverse=True)
+            self.check = None
+
+
+def pack_check(check: np.ndarray | None) -> bytes:
+    return b"" if check is None else squeeze(check.astype("<u4").tobytes())
+
+
+def exchange(emitted: DataFrame, at: int, buckets: int, batches: int, fold: Fold, tag: str, write: bool = True) -> DataFrame:
+    """Rows of ANSWER, written unless they are read once only: for every row of emitted (ROWS, dealt to at buckets) the answers of its keys, in their order.
+
+    Rows with batch -1 hold the stats of a bucket.
+    """
+
+    def settle(table: pa.Table) -> pa.Table:
+        g = _Gathered(table, fold)
+        answers = fold.settle(g.values, g.part, g.where, len(g.keys))
+        out = [(g.rows[0][1], -1, 0, b"", *fold.stats(g.keys, answers))]
+        for (batch, bucket, part, *_), s in zip(g.rows, g.slices, strict=True):
+            out.append((bucket, batch, part, fold.reply(tuple(a[g.where[s]] for a in answers), part)))
+        return answers_of(out)
+
+    if at >= buckets:
+        got = emitted.repartition(min(at, 20_000), "bucket").groupBy("bucket").applyInArrow(settle, ANSWER)
+        return materialize(got, tag) if write else got
+    fine, groups = min(buckets, at * FAN), -(-batches // FAN)
+    keys = ["bucket", "part", "grp"]
+    emitted = materialize(emitted.withColumn("grp", F.pmod(F.xxhash64("batch"), F.lit(groups))), f"{tag}up")
+
+    def merge(table: pa.Table) -> pa.Table:
+        g = _Gathered(table, fold)
+        values, (_, _, part, *_) = fold.fold(g.values, g.where, len(g.keys)), g.rows[0]
+        out = [(b, table["grp"][0].as_py(), part, pack_keys(g.keys[s]), pack_check(None if g.check is None else g.check[s]), fold.encode(values[s])) for b, s in by_bucket(g.keys, fine)]
+        return pa.Table.from_batches([rows_of(out)])
+
+    def spread(left: pa.Table, right: pa.Table) -> pa.Table:
+        g = _Gathered(left, fold)
+        found = {b: a for b, a in zip(right["bucket"].to_pylist(), right["answer"].to_pylist(), strict=True)}
+        read = [fold.read(found[b], s.stop - s.start, g.rows[0][2]) for b, s in by_bucket(g.keys, fine)]
+        answers = tuple(np.concatenate(x) for x in zip(*read, strict=True))
+        return answers_of([(bucket, batch, part, fold.reply(tuple(a[g.where[s]] for a in answers), part)) for (batch, bucket, part, *_), s in zip(g.rows, g.slices, strict=True)])
+
+    n = min(at * groups, 20_000)
+    up = emitted.repartition(n, *keys).groupBy(*keys)
+    got = exchange(up.applyInArrow(merge, ROWS), fine, buckets, groups, fold, f"{tag}+")
+    home = F.floor(F.col("bucket") / (fine // at)).cast("long").alias("home")
+    down = got.where("batch >= 0").select(home, "part", F.col("batch").alias("grp"), "bucket", "answer")
+    back = up.cogroup(down.repartition(n, "home", "part", "grp").groupBy("home", "part", "grp")).applyInArrow(spread, ANSWER)
+    return (materialize(back, tag) if write else back).unionByName(got.where("batch < 0"))

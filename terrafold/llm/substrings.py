@@ -9,7 +9,7 @@ the highest level that has any; equal windows have equal anchors.
 
 Two corpus-wide rounds follow the naming (see batches for how they travel). The first counts anchors: one
 that a single document has ends the search for its windows. The second looks only at windows whose anchor is
-shared, verifies them by a hash of all their words, and finds the least document that has each.
+shared, verifies them by 96 bits of hashes of all their words, and finds the least document that has each.
 A word is removed if a window that covers it also starts in a document with a smaller id.
 
 Cases: a null or empty text has no words; a null id is larger than all others and stays null; rows with equal
@@ -23,15 +23,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from terrafold.llm.batches import NO_ID, buckets_for, by_bucket, fresh, load_batch, load_rows, pack, pack_ints, trim, unpack_ints
+from terrafold.llm.batches import FAN, NO_ID, ROWS, Fold, buckets_for, by_bucket, distinct_pairs, exchange, fresh, load_batch, load_rows, pack, pack_check, pack_ints, pack_keys, rows_of, tasks_for, trim, unpack_ints
 from terrafold.llm.words import combine, distinct, find_words, hash_words, join_texts, mix
-from terrafold.session import materialize
 
 _U = np.uint64
 WINDOW, CHUNK = 13, 1 << 16
 _SIGN = _U(1 << 63)
+_CHECK = _U(0x3C6EF372FE94F82B)
 
 
 def rounds_for(window: int) -> int:
@@ -156,51 +157,26 @@ def _order(ids: np.ndarray) -> np.ndarray:
     return ids.astype(np.int64).view(_U) ^ _SIGN
 
 
-def _blobs(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [()] * 4
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["bucket", "batch", "keys", "extra"])
+class _Shared(Fold):
+    """Round one: which anchors more than one document has. Batches send a bit for anchors that they have twice."""
 
+    def decode(self, extra: bytes, n: int) -> np.ndarray:
+        return np.unpackbits(np.frombuffer(extra, np.uint8), count=n)
 
-_ROWS = "bucket long, batch long, keys binary, extra binary"
-_ANSWER = "bucket long, batch long, round int, answer binary"
+    def encode(self, values: np.ndarray) -> bytes:
+        return np.packbits(values).tobytes()
 
+    def fold(self, values: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(where, weights=1 + values.astype(np.float64), minlength=n) > 1
 
-def _answers(rows: list[tuple], round_: int) -> pa.Table:
-    cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([round_] * len(rows), pa.int32()), pa.array([r[2] for r in rows], pa.binary())]
-    return pa.table(cols, names=["bucket", "batch", "round", "answer"])
 
+class _Earliest(Fold):
+    """Round two: the least document of each window."""
 
-def _gather(table: pa.Table) -> tuple[list[tuple], list[np.ndarray], np.ndarray, np.ndarray]:
-    rows = sorted(zip(*(table[c].to_pylist() for c in ("batch", "bucket", "keys", "extra")), strict=True))
-    keys = [unpack_ints(r[2]) for r in rows]
-    distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
-    return rows, keys, distinct, where
-
-
-def _shared(table: pa.Table) -> pa.Table:
-    """Round one: which anchors more than one document has. extra has a bit for anchors that a batch itself has twice."""
-    rows, keys, distinct, where = _gather(table)
-    twice = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8), count=len(k)) for r, k in zip(rows, keys, strict=True)])
-    n = np.bincount(where, weights=1 + twice.astype(np.float64), minlength=len(distinct))
-    out, at = [], 0
-    for (batch, bucket, *_), k in zip(rows, keys, strict=True):
-        out.append((bucket, batch, np.packbits(n[where[at : at + len(k)]] > 1).tobytes()))
-        at += len(k)
-    return _answers(out, 1)
-
-
-def _earliest(table: pa.Table) -> pa.Table:
-    """Round two: the least document of each window. extra has the least of each batch."""
-    rows, keys, distinct_, where = _gather(table)
-    docs = np.concatenate([unpack_ints(r[3]) for r in rows])
-    least = np.full(len(distinct_), _U(0xFFFFFFFFFFFFFFFF))
-    np.minimum.at(least, where, docs)
-    out, at = [], 0
-    for (batch, bucket, *_), k in zip(rows, keys, strict=True):
-        out.append((bucket, batch, pack_ints(least[where[at : at + len(k)]])))
-        at += len(k)
-    return _answers(out, 2)
+    def fold(self, values: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
+        least = np.full(n, _U(0xFFFFFFFFFFFFFFFF))
+        np.minimum.at(least, where, values)
+        return least
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -217,7 +193,10 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, window: int, whole: bool
     """whole: return the documents' own columns, and texts that lose no word as they are."""
     packed = pack(docs, id_col, text_col, carry=whole)
     names = docs.columns
-    buckets = buckets_for(packed)
+    batches, tasks = tasks_for(packed)
+    # a batch sends to buckets of the first step; the key space may have more
+    total = buckets_for(packed)
+    buckets = min(total, FAN)
 
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in frames:
@@ -232,7 +211,7 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, window: int, whole: bool
                 np.minimum.at(low, where, doc)
                 np.maximum.at(high, where, doc)
                 twice = low < high
-                yield _blobs([(b, batch, pack_ints(keys[s]), np.packbits(twice[s]).tobytes()) for b, s in by_bucket(keys, buckets)])
+                yield rows_of([(b, batch, 0, pack_keys(keys[s]), b"", np.packbits(twice[s]).tobytes()) for b, s in by_bucket(keys, buckets)])
                 del p, own, anchor, doc, keys, where, low, high, twice
                 trim()
 
@@ -243,6 +222,12 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, window: int, whole: bool
         hit = np.concatenate(shared).astype(bool) if shared else np.zeros(0, dtype=bool)
         return p, np.flatnonzero(hit[np.searchsorted(keys, p.anchor)]) if len(keys) else np.zeros(0, dtype=np.int64)
 
+    def windows(p: Parsed, cand: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """96 bits of the words of each distinct candidate window, and where each candidate is among them."""
+        key = grams(p.names, p.at[cand], window)
+        check = grams(mix(p.names ^ _CHECK), p.at[cand], window) >> _U(32)
+        return distinct_pairs(key, check)
+
     def tidy(fn):
         """fn, giving its memory back when it is done."""
 
@@ -259,17 +244,17 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, window: int, whole: bool
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
         p, cand = candidates(left["payload"][0].as_py(), of_round(right, 1))
-        keys, where = np.unique(grams(p.names, p.at[cand], window), return_inverse=True)
+        keys, check, where = windows(p, cand)
         least = np.full(len(keys), _U(0xFFFFFFFFFFFFFFFF))
         np.minimum.at(least, where, _order(p.ids)[p.doc[cand]])
-        rows = [(b, left["batch"][0].as_py(), pack_ints(keys[s]), pack_ints(least[s])) for b, s in by_bucket(keys, buckets)]
-        return pa.Table.from_batches([_blobs(rows)])
+        rows = [(b, left["batch"][0].as_py(), 0, pack_keys(keys[s]), pack_check(check[s]), pack_ints(least[s])) for b, s in by_bucket(keys, buckets)]
+        return pa.Table.from_batches([rows_of(rows)])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         p, cand = candidates(left["payload"][0].as_py(), of_round(right, 1))
         gone = np.zeros(len(p.names) + 1, dtype=np.int32)
         if len(cand):
-            keys, where = np.unique(grams(p.names, p.at[cand], window), return_inverse=True)
+            keys, _, where = windows(p, cand)
             found = of_round(right, 2)
             least = np.concatenate([unpack_ints(found[b]) for b, _ in by_bucket(keys, buckets)])
             hit = p.at[cand[least[where] < _order(p.ids)[p.doc[cand]]]]
@@ -295,11 +280,13 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, window: int, whole: bool
         return pa.table({"doc_id": keys, "n_words": pa.array(p.words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "text": pa.array(out, pa.binary()).cast(pa.string())})
 
     rows = packed.select("batch", "payload")
-    one = materialize(rows.mapInArrow(count, _ROWS).groupBy("bucket").applyInArrow(_shared, _ANSWER), "anchors")
-    found = rows.groupBy("batch").cogroup(one.groupBy("batch")).applyInArrow(tidy(verify), _ROWS)
-    two = found.groupBy("bucket").applyInArrow(_earliest, _ANSWER)
-    both = one.unionByName(two).groupBy("batch")
+    numbered = lambda answers, k: answers.where("batch >= 0").select("bucket", "batch", F.lit(k).alias("round"), "answer")
+    met = lambda df: df.repartition(tasks, "batch").groupBy("batch")
+    one = numbered(exchange(rows.mapInArrow(count, ROWS), buckets, total, batches, _Shared(), "anchors"), 1)
+    found = met(rows).cogroup(met(one)).applyInArrow(tidy(verify), ROWS)
+    two = numbered(exchange(found, buckets, total, batches, _Earliest(), "windows", write=False), 2)
+    both = met(one.unionByName(two))
     if not whole:
-        return rows.groupBy("batch").cogroup(both).applyInArrow(tidy(finish), "doc_id long, n_words long, n_removed long, text string")
+        return met(rows).cogroup(both).applyInArrow(tidy(finish), "doc_id long, n_words long, n_removed long, text string")
     schema = StructType([StructField(f.name, StringType() if f.name == text_col else f.dataType) for f in docs.schema.fields])
-    return packed.select("batch", "payload", "extra").groupBy("batch").cogroup(both).applyInArrow(tidy(finish), schema)
+    return met(packed.select("batch", "payload", "extra")).cogroup(both).applyInArrow(tidy(finish), schema)

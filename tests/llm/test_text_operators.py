@@ -69,6 +69,62 @@ def test_substrings(docs, window):
     assert sorted(got, key=str) == removed(window)
 
 
+@pytest.mark.parametrize(("least", "fan"), [(4, 4), (16, 4), (64, 4), (8, 2)])
+def test_substrings_whatever_the_exchange(docs, monkeypatch, least, fan):
+    """Key spaces of one, two and three steps."""
+    monkeypatch.setattr(batches, "BATCH_DOCS", 9)
+    monkeypatch.setattr(batches, "FAN", fan)
+    monkeypatch.setattr(substrings, "FAN", fan)
+    monkeypatch.setattr(substrings, "buckets_for", lambda packed: least)
+    got = [(r.doc_id, r.n_words, r.n_removed, r.text) for r in substrings.dedup(docs, window=4).collect()]
+    assert sorted(got, key=str) == removed(4)
+
+
+def test_a_batch_sends_to_fan_buckets_whatever_their_number(spark, docs, monkeypatch):
+    monkeypatch.setattr(batches, "BATCH_DOCS", 5)
+    monkeypatch.setattr(batches, "FAN", 4)
+    packed = batches.pack(docs)
+    n = packed.count()
+
+    class Least(batches.Fold):
+        def fold(self, values, where, k):
+            out = np.full(k, np.uint64(2**63))
+            np.minimum.at(out, where, values)
+            return out
+
+    def emit(frames):
+        for rb in frames:
+            for b in rb.column(0).to_pylist():
+                keys = np.sort(words.mix(np.arange(b % 97, b % 97 + 500).astype(np.uint64)))
+                yield batches.rows_of([(k, b, 0, batches.pack_keys(keys[s]), b"", batches.pack_ints(np.full(s.stop - s.start, b % 89, np.uint64))) for k, s in batches.by_bucket(keys, 4)])
+
+    rows, write = [], batches.materialize
+    monkeypatch.setattr(batches, "materialize", lambda df, tag: (lambda out: (rows.append((tag, out.count())), out)[1])(write(df, tag)))
+    for buckets in (16, 64):
+        rows.clear()
+        got = batches.exchange(packed.mapInArrow(emit, batches.ROWS), 4, buckets, n, Least(), "t")
+        ids = [r.batch for r in packed.collect()]
+        want = {b: [min(c % 89 for c in ids if c % 97 <= k < c % 97 + 500) for k in range(b % 97, b % 97 + 500)] for b in ids}
+        for b in ids:
+            found = sorted((r.bucket, r.answer) for r in got.where(f"batch = {b}").collect())
+            values = np.concatenate([batches.unpack_ints(a) for _, a in found])
+            order = np.argsort(words.mix(np.arange(b % 97, b % 97 + 500).astype(np.uint64)))
+            assert values.tolist() == [want[b][k] for k in order]
+        assert max(c for t, c in rows) <= 4 * n + 64 + 16 * (n + 8) and dict(rows)["tup"] == 4 * n
+
+
+def test_keys_round_trip_and_pairs():
+    r = np.random.default_rng(0)
+    for n in (0, 1, 2, 1000):
+        k = np.sort(r.integers(0, 2**64, n, dtype=np.uint64))
+        assert (batches.unpack_keys(batches.pack_keys(k)) == k).all()
+        for b in (1, 2, 64, 1 << 20):
+            assert [x for _, s in batches.by_bucket(k, b) for x in k[s].tolist()] == k.tolist()
+    key, check = np.array([5, 1, 5, 5, 1], np.uint64), np.array([2, 7, 1, 2, 7], np.uint64)
+    a, b, where = batches.distinct_pairs(key, check)
+    assert list(zip(a.tolist(), b.tolist(), strict=True)) == [(1, 7), (5, 1), (5, 2)] and where.tolist() == [2, 0, 1, 2, 0]
+
+
 def test_substring_anchors_depend_on_the_window_alone():
     r = np.random.default_rng(1)
     for alphabet in (2, 5, 1000):
