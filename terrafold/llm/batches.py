@@ -301,7 +301,7 @@ def exchange(emitted: DataFrame, at: int, buckets: int, batches: int, fold: Fold
         return answers_of(out)
 
     if at >= buckets:
-        got = emitted.repartition(min(at, 20_000), "bucket").groupBy("bucket").applyInArrow(settle, ANSWER)
+        got = emitted.repartition(min(at, max(8, batches), 20_000), "bucket").groupBy("bucket").applyInArrow(settle, ANSWER)
         return materialize(got, tag) if write else got
     fine, groups = min(buckets, at * FAN), -(-batches // FAN)
     keys = ["bucket", "part", "grp"]

@@ -257,16 +257,109 @@ def test_language_model(docs, empty):
     want = sorted((str(i), fold(i) == 0, len(ws), sum(train[w] > 0 for w in ws), n, round(sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 6)) for i, ws in tokens)
     rows = lm.score(docs).collect()
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in rows) == want
-    assert all(math.isfinite(r.score) and r.score < 0 for r in rows)
+    scores = brute_scores(tokens, fold)
+    brute = sorted((str(i), x) for (i, _), x in zip(tokens, scores, strict=True))
+    assert all(a == b and math.isclose(x, y, rel_tol=1e-6) for (a, x), (b, y) in zip(sorted((str(r.doc_id), r.score) for r in rows), brute, strict=True))
     assert lm.score(empty).count() == 0
 
 
+def ngrams(tokens):
+    count = Counter()
+    for ws in tokens:
+        count["start"] += 1
+        for k, w in enumerate(ws):
+            count[1, w] += 1
+            count[2, ws[k - 1] if k else "start", w] += 1
+            if k:
+                count[3, ws[k - 2] if k > 1 else "start", ws[k - 1], w] += 1
+    return count
+
+
+def estimates(ws, count, n):
+    """For each token: unigram estimate, then (context's count, estimate) of bigram and trigram."""
+    for k, w in enumerate(ws):
+        u = count[1, ws[k - 1]] if k else count["start"]
+        uv = count[2, ws[k - 2] if k > 1 else "start", ws[k - 1]] if k else 0
+        three = count[3, ws[k - 2] if k > 1 else "start", ws[k - 1], w] if k else 0
+        yield count[1, w] / n, (u, count[2, ws[k - 1] if k else "start", w] / max(u, 1)), (uv, three / max(uv, 1))
+
+
+def bucket(c):
+    return min(int(math.log2(c)), 15)
+
+
+def mixture(l1, l2, l3, p1, two, three, uniform):
+    a, b = (l2[bucket(two[0])] if two[0] else 0.0), (l3[bucket(three[0])] if three[0] else 0.0)
+    parts = [(1 - b) * (1 - a) * l1 * p1, (1 - b) * a * two[1], b * three[1]]
+    return sum(parts) + (1 - b) * (1 - a) * (1 - l1) * uniform, parts
+
+
+def brute_scores(tokens, fold):
+    whole = ngrams([ws for i, ws in tokens if fold(i)])
+    main = ngrams([ws for i, ws in tokens if fold(i) not in (0, 9)])
+    size = lambda keep: sum(len(ws) for i, ws in tokens if keep(fold(i)))
+    uniform = 1 / (sum(1 for k in whole if k[0] == 1) + 1)
+    seen = [e for i, ws in tokens if fold(i) == 9 for e in estimates(ws, main, size(lambda f: f not in (0, 9)))]
+    l1, l2, l3 = 0.5, [0.5] * 16, [0.5] * 16
+    for _ in range(lm.ROUNDS):
+        hit, all_ = Counter(), Counter()
+        for p1, two, three in seen:
+            p, parts = mixture(l1, l2, l3, p1, two, three, uniform)
+            left = 1.0
+            if three[0]:
+                hit[3, bucket(three[0])] += parts[2] / p
+                all_[3, bucket(three[0])] += left
+            left -= parts[2] / p
+            if two[0]:
+                hit[2, bucket(two[0])] += parts[1] / p
+                all_[2, bucket(two[0])] += left
+            left -= parts[1] / p
+            hit[1] += parts[0] / p
+            all_[1] += left
+        old = [l1, *l2, *l3]
+        l1 = (hit[1] + 0.5) / (all_[1] + 1)
+        l2, l3 = ([(hit[k, b] + 0.5) / (all_[k, b] + 1) for b in range(16)] for k in (2, 3))
+        if max(abs(x - y) for x, y in zip(old, [l1, *l2, *l3], strict=True)) < lm.SETTLED:
+            break
+    n = size(lambda f: f)
+    return [sum(math.log10(mixture(l1, l2, l3, *e, uniform)[0]) for e in estimates(ws, whole, n)) for _, ws in tokens]
+
+
+def test_mixtures_sum_to_one():
+    """Over all words and the unseen one, for contexts that are seen, seen once and not seen."""
+    r = random.Random(1)
+    tokens = [[r.choice("abcd") for _ in range(9)] + [None] for _ in range(20)]
+    count = ngrams(tokens)
+    words_ = ["a", "b", "c", "d", None]
+    weights = lm.Weights(0.7, np.random.default_rng(0).random((2, 16)))
+    n = sum(len(t) for t in tokens)
+    for history in (["a", "b"], ["d", "d"], ["x", "a"], ["x", "y"]):
+        rows = [list(estimates([*history, w], count, n))[-1] for w in words_]
+        one = np.array([e[0] for e in rows] + [0.0])
+        higher = [tuple(np.array([e[k][j] for e in rows] + [rows[0][k][0] if j == 0 else 0.0]) for j in (0, 1)) for k in (1, 2)]
+        p, _ = weights.mix(one, [(lm._bucket(c), e) for c, e in higher], 1 / 6)
+        assert abs(p.sum() - 1) < 1e-9
+
+
+@pytest.mark.parametrize(("least", "fan"), [(4, 4), (64, 4)])
+def test_language_model_whatever_the_exchange(docs, monkeypatch, least, fan):
+    want = sorted((str(r.doc_id), round(r.score, 6)) for r in lm.score(docs).collect())
+    monkeypatch.setattr(batches, "BATCH_DOCS", 9)
+    monkeypatch.setattr(batches, "FAN", fan)
+    monkeypatch.setattr(lm, "FAN", fan)
+    monkeypatch.setattr(lm, "buckets_for", lambda packed: least)
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in lm.score(docs).collect()) == want
+
+
 def test_weights_follow_the_held_out_counts():
-    cell = lambda b, two, one: (b * lm.CELLS + lm._cell(np.array([two]))[0]) * lm.CELLS + lm._cell(np.array([one]))[0]
-    cells = np.array([cell(3, 1000.0, 1.0), cell(5, 0.0, 50.0), cell(9, 0.0, 0.0)])
-    w = lm.fit_weights(cells, np.array([1e4, 1e4, 1e4]))
-    assert np.allclose(w.sum(axis=0), 1) and (w > 0).all()
-    assert w[0, 3] > 0.9 and w[1, 5] > 0.9 and w[2, 9] > 0.9
+    """Contexts of bucket 3 foretell the token, those of bucket 0 don't."""
+    one, two = np.full(1000, 0.01), np.where(np.arange(1000) < 500, 0.9, 0.0)
+    bucket_ = np.where(np.arange(1000) < 500, 3, 0)
+    weights = lm.Weights()
+    for _ in range(lm.ROUNDS):
+        weights, change = weights.maximise(weights.expect(one, [(bucket_, two), (np.full(1000, -1), two * 0)], 1e-4))
+    assert weights.more[0][3] > 0.95 and weights.more[0][0] < 0.01 and change < 0.01
+    assert weights.one > 0.9 and weights.more[1].tolist() == [0.5] * 16  # nothing seen
 
 
 def test_known_continuations_score_higher(spark):
