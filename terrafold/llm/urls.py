@@ -6,6 +6,7 @@ keys; the second holds what the first lets through of all other keys of the corp
 lets through of the listed keys, and so on until a level lets nothing wrong through. Since the levels were
 checked against the corpus's complete key universe, membership is exact for every key of it, and a look-up
 needs no join. The level that refuses a key decides: refused by an odd level, it is not listed; by an even one, it is.
+The rule's text and action are then read by the listed key's hash.
 
 The first level is sized to the list and to the number of keys in the corpus, so what is collected for the
 next one stays near the list's size; its count is checked and the level enlarged if need be.
@@ -137,18 +138,22 @@ def judge(pages: DataFrame, rules=RULES, default: str = DEFAULT, id_col: str = "
     """Rows (page_id, host, path, rule, verdict)."""
     levels = build(pages, rules, url_col)
     lengths = sorted({len(p) for _, _, p in rules})
-    action = {}
+    found = {}  # what a listed key says; whether a key is listed, the cascade alone decides
     for verdict, host, path in rules:
-        action.setdefault((host, path), verdict)
+        found.setdefault(key_hash(host + path), (host + path, verdict))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in frames:
             got = [parts(u) for u in rb.column(1).to_pylist()]
-            keys = [_candidates(h, p, lengths) for h, p in got]
-            flat = np.array([key_hash(h + p) for k in keys for h, p in k], dtype=_U)
+            keys = [[key_hash(h + p) for h, p in _candidates(*x, lengths)] for x in got]
+            flat = np.array([k for own in keys for k in own], dtype=_U)
             listed = iter(has(levels, flat).tolist())
-            rule = [next((k for k, ok in [(k, next(listed)) for k in own] if ok and k in action), None) for own in keys]
-            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array([h for h, _ in got], pa.string()), pa.array([p for _, p in got], pa.string()), pa.array([r and "".join(r) for r in rule], pa.string()), pa.array([action[r] if r else default for r in rule], pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
+            hits = [[k for k in own if next(listed)] for own in keys]
+            if any(k not in found for own in hits for k in own):
+                raise RuntimeError("the cascade lists a key that no rule has")
+            said = [found[own[0]] if own else (None, default) for own in hits]
+            cols = [[h for h, _ in got], [p for _, p in got], [r for r, _ in said], [v for _, v in said]]
+            yield pa.RecordBatch.from_arrays([rb.column(0), *(pa.array(c, pa.string()) for c in cols)], names=["page_id", "host", "path", "rule", "verdict"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
     return rows.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
