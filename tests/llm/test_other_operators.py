@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -138,6 +139,28 @@ def test_urls(spark):
     assert urls.judge(df.where("page_id < 0")).count() == 0
 
 
+def test_the_cascade_alone_decides(spark, monkeypatch):
+    """With a cascade that lets everything through no url is judged."""
+    import pyarrow as pa
+
+    frame = pa.RecordBatch.from_pydict({"page_id": [1, 2], "url": ["http://a.net/x", "http://b.com/y"]})
+    runs = []
+    monkeypatch.setattr(urls, "build", lambda *a: [])
+    monkeypatch.setattr(urls, "has", lambda levels, keys: np.ones(len(keys), dtype=bool))
+
+    class Pages:
+        def select(self, *c):
+            return self
+
+        def mapInArrow(self, fn, schema):
+            runs.append(fn)
+
+    spark.range(1)
+    urls.judge(Pages())
+    with pytest.raises(RuntimeError):
+        list(runs[0](iter([frame])))
+
+
 def test_cascade_is_exact_over_its_universe(spark, monkeypatch):
     monkeypatch.setattr(urls, "LEAST_BITS", 64)
     monkeypatch.setattr(urls, "PROBES", 1)
@@ -169,6 +192,61 @@ def test_pages_without_text(page):
     assert isinstance(mainhtml.extract(page), str)
 
 
+def sentence(r, n):
+    return " ".join(r.choice(["sea", "wind,", "stone", "river,", "field", "night"]) for _ in range(n)) + "."
+
+
+def made_page(r):
+    """A page around a known text, and that text."""
+    text = [("h1", sentence(r, 4))] + [("p", sentence(r, r.randint(12, 70))) for _ in range(r.randint(3, 9))]
+    if r.random() < 0.5:
+        text.insert(r.randint(2, len(text)), ("h2", sentence(r, 3)))
+    if r.random() < 0.4:
+        text.insert(r.randint(2, len(text)), ("li", sentence(r, 9)))
+    noise = [
+        lambda: "<div class='%s'><p>%s</p></div>" % (r.choice(["ad", "promo box", "sidebar", "cookie-notice", "related"]), sentence(r, r.randint(5, 25))),
+        lambda: "<ul>" + "".join(f"<li><a href='/x'>{sentence(r, 6)}</a></li>" for _ in range(r.randint(3, 12))) + "</ul>",
+        lambda: "<aside><p>" + sentence(r, 30) + "</p></aside>",
+        lambda: "<form><p>Name, mail, and more</p><input></form><script>var a = '</p>';</script><!-- <p>no</p> -->",
+    ]
+    inner = ""
+    for tag, words in text:
+        if r.random() < 0.25 and tag == "p" and inner.count("<p>") > 1:
+            inner += r.choice(noise)()
+        k = words.find(" ", len(words) // 2)
+        marked = words[:k] + r.choice([" <b>", " <a href=y>", "\n <i>"]) + words[k + 1 :] + "</b></a></i>" if k > 0 and r.random() < 0.3 else words
+        inner += f"<ul><li>{marked}</ul>" if tag == "li" else f"<{tag}>{marked}" + ("" if tag == "p" and r.random() < 0.3 else f"</{tag}>")
+    kind = r.choice(["article", "div", "div class='post related-post'", "main", "section"])
+    body = f"<{kind}>{inner}</{kind.split()[0]}>"
+    for _ in range(r.randint(0, 2)):
+        body = f"<div id=w{r.randint(1, 9)}>{body}</div>"
+    comments = "<section class=comments>" + "".join(f"<p>{sentence(r, r.randint(3, 20))}</p>" for _ in range(r.randint(0, 4))) + "</section>"
+    nav = "<nav><ul>" + "".join(f"<li><a href=/>{sentence(r, 1)}</a></li>" for _ in range(6)) + "</ul></nav>"
+    return f"<html><head><title>T, t</title></head><body><header><h2>Site</h2></header>{nav}{r.choice(noise)()}{body}{comments}<footer><p>{sentence(r, 20)}</p></footer></body></html>", "\n".join(w for _, w in text)
+
+
+@pytest.mark.parametrize("seed", range(200))
+def test_made_pages(seed):
+    page, text = made_page(random.Random(seed))
+    assert mainhtml.extract(page) == text
+
+
+def test_scores_and_not_names_decide():
+    story = "A sentence, with words, and more. " * 20
+    assert mainhtml.extract(f"<body><nav><a href=x>x</a></nav><div class='post related-post'><p>{story}</p></div></body>") == story.strip()
+    links = "".join(f"<li><a href=x>Linked headline number {i}, with a comma</a></li>" for i in range(12))
+    assert mainhtml.extract(f"<article><h1>T</h1><p>{story}</p><ul>{links}</ul><p>end.</p></article>") == f"T\n{story.strip()}\nend."
+    parts = "".join(f"<section><h2>S{i}</h2><p>{story}</p></section>" for i in range(4))
+    assert mainhtml.extract(f"<body><div><h1>T</h1>{parts}</div></body>").count("\n") == 8
+
+
+@pytest.mark.parametrize("page", ["<a" * 500_000, "<div>" * 20_000, "<div>x, and more text " * 20_000, '<p "' * 100_000, "<p a='>x" * 50_000, "<b>" * 10_000 + "<div></div>" * 10_000, "<div>" * 20_000 + "</section>" * 20_000, "<!--" * 100_000, "<" * 300_000], ids=range(9))
+def test_time_in_proportion_to_length(page):
+    begin = time.process_time()
+    mainhtml.extract(page)
+    assert time.process_time() - begin < 2
+
+
 def test_cut_pages():
     for k in range(len(PAGE)):
         mainhtml.extract(PAGE[:k])
