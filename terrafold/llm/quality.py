@@ -22,7 +22,7 @@ from terrafold.session import materialize, plan_bytes, ship
 SPACES = "[\\x20\\x09-\\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-MIN_WORDS, MAX_REPEAT_PERCENT, MAX_RATE, LEAST_SPREAD = 50, 50, 0.5, 1e-9
+MIN_WORDS, MAX_REPEAT_PERCENT, MAX_RATE, LEAST_CORRELATION = 50, 50, 0.5, 1e-9
 #: Rejected hosts up to this many are broadcast; more are joined by shuffle.
 BROADCAST_HOSTS = 50_000
 _F = "__qr_"
@@ -81,11 +81,15 @@ def host_rates(judged: DataFrame, host_col: str) -> DataFrame:
     """Rows (host, docs, failures, rate): the posterior mean under a beta prior fitted to all hosts' rates."""
     hosts = judged.where(F.col(host_col).isNotNull()).groupBy(F.col(host_col).alias("host"))
     hosts = hosts.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.col("base_failed").cast("long")).alias("failures"))
-    raw = F.col("failures") / F.col("docs")
-    prior = hosts.agg(F.avg(raw).alias("m"), F.var_pop(raw).alias("v"))
-    spread = F.greatest(F.col("v"), F.lit(LEAST_SPREAD))
-    strength = F.greatest(F.col("m") * (1 - F.col("m")) / spread - 1, F.lit(0.0))
-    prior = prior.select(F.col("m"), strength.alias("k"))
+    n, x = F.col("docs").cast("double"), F.col("failures").cast("double")
+    sums = hosts.agg(F.count(F.lit(1)).cast("double").alias("H"), F.sum(n).alias("N"), F.sum(x).alias("X"), F.sum(n * n).alias("NN"), F.sum(x * x / n).alias("XX"))
+    m = F.col("X") / F.col("N")
+    spread = (F.col("XX") - F.col("X") * m) / (m * (1 - m)) - (F.col("H") - 1)  # S, by the sums of squares
+    room = F.col("N") - F.col("NN") / F.col("N") - (F.col("H") - 1)
+    # no failures, or nothing else: m is 0 or 1 and every posterior mean is m
+    found = F.when((m > 0) & (m < 1) & (room > LEAST_CORRELATION * F.col("N")), spread / room).otherwise(F.lit(0.0))
+    correlation = F.least(F.greatest(found, F.lit(LEAST_CORRELATION)), F.lit(1.0))
+    prior = sums.select(m.alias("m"), (1 / correlation - 1).alias("k"))
     rate = (F.col("failures") + F.col("m") * F.col("k")) / (F.col("docs") + F.col("k"))
     # One row against the hosts: the prior is two numbers.
     return hosts.join(F.broadcast(prior)).select("host", "docs", "failures", rate.alias("rate"))

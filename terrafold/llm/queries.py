@@ -134,8 +134,10 @@ f AS (SELECT d.doc_id, source, coalesce(wc.n, 0) AS n_words, coalesce(wc.chars,
   FROM d LEFT JOIN wc USING (doc_id) LEFT JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f),
 h AS (SELECT source, count(*) AS docs, count(*) FILTER (base_failed) AS fails FROM b WHERE source IS NOT NULL GROUP BY source),
-pr AS (SELECT avg(fails / docs) AS m, greatest(var_pop(fails / docs), {quality.LEAST_SPREAD}) AS v FROM h),
-k AS (SELECT m, greatest(m * (1 - m) / v - 1, 0) AS k FROM pr),
+c AS (SELECT sum(fails) / sum(docs) AS m, sum(docs) AS n, count(*) - 1 AS free, sum(docs * docs) AS nn FROM h),
+w AS (SELECT sum(docs * pow(fails / docs - m, 2)) AS s FROM h, c),
+r AS (SELECT m, CASE WHEN m > 0 AND m < 1 AND n - nn / n - free > {quality.LEAST_CORRELATION} * n THEN (s / (m * (1 - m)) - free) / (n - nn / n - free) ELSE 0 END AS r FROM c, w),
+k AS (SELECT m, 1 / least(greatest(r, {quality.LEAST_CORRELATION}), 1) - 1 AS k FROM r),
 bad AS (SELECT source FROM h, k WHERE (fails + m * k) / (docs + k) > {quality.MAX_RATE})
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
