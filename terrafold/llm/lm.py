@@ -59,6 +59,7 @@ class _Tokens:
         starts, ends, first = find_words(data, at)
         one = np.insert(hash_words(data, starts, ends) | _U(1), first[1:], _END_KEY)
         self.begin = first[:-1] + np.arange(len(texts))
+        del texts, data, at, starts, ends
         before = np.empty_like(one)
         before[1:] = one[:-1]
         before[self.begin] = _START_KEY
@@ -67,10 +68,13 @@ class _Tokens:
         self.inner[self.begin] = False
         inner = np.flatnonzero(self.inner)
         three = (combine(two[inner - 1], one[inner]) & ~_LOW) | _U(4)
-        self.keys, where = np.unique(np.concatenate([one, two, three, [_START_KEY]]), return_inverse=True)
-        n = len(one)
+        n, every = len(one), np.concatenate([one, two, three, [_START_KEY]])
+        del one, two, three, before, inner
+        self.keys, where = np.unique(every, return_inverse=True)
+        del every
+        where = where.astype(np.int32)
         self.one, self.two, self.three, self.start = where[:n], where[n : 2 * n], where[2 * n : -1], where[-1]
-        self.before = np.empty(n, dtype=np.int64)
+        self.before = np.empty(n, dtype=where.dtype)
         self.before[1:] = self.one[:-1]
         self.before[self.begin] = self.start
 

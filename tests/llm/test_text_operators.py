@@ -405,6 +405,32 @@ def test_host_verdicts(spark):
     assert kept == {i for i, r in got.items() if r.kept} and quality.apply(df).columns == df.columns
 
 
+def rates(spark, sizes, chance, seed):
+    r = np.random.default_rng(seed)
+    rows = [(f"h{k}", bool(f)) for k, (n, c) in enumerate(zip(sizes, chance, strict=True)) for f in r.random(n) < c]
+    got = quality.host_rates(spark.createDataFrame(rows, "source string, base_failed boolean"), "source").collect()
+    return {x.host: x for x in got}, sum(f for _, f in rows) / len(rows)
+
+
+def test_hosts_that_differ_by_chance_have_the_corpus_rate(spark):
+    for sizes in ([1] * 3000, [5] * 800, [3] * 400 + [40] * 50):
+        got, mean = rates(spark, sizes, [0.3] * len(sizes), 1)
+        assert max(abs(x.rate - mean) for x in got.values()) < 0.06
+
+
+def test_the_prior_has_the_strength_of_the_hosts_spread(spark):
+    """Failure rates drawn from beta(2, 3): a prior of five documents, and so the posterior mean of each host."""
+    sizes = [4] * 1500 + [30] * 300
+    chance = np.random.default_rng(3).beta(2, 3, len(sizes))
+    got, mean = rates(spark, sizes, chance, 2)
+    for x in got.values():
+        assert abs(x.rate - (x.failures + 5 * mean) / (x.docs + 5)) < 0.07
+    apart, mean = rates(spark, [50] * 40, [0.0, 1.0] * 20, 3)  # nothing to shrink
+    assert {round(x.rate, 6) for x in apart.values()} == {0.0, 1.0}
+    same, _ = rates(spark, [7] * 5, [1.0] * 5, 4)
+    assert {x.rate for x in same.values()} == {1.0}
+
+
 def test_sha_of_kept_words_is_that_of_the_text(docs):
     row = substrings.dedup(docs).where("doc_id = 200").select("text", F.sha2("text", 256).alias("s")).first()
     assert row.s == hashlib.sha256(row.text.encode()).hexdigest()
