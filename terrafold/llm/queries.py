@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from terrafold.llm import idfile, lm, mainhtml, neardup, packing, pieces, quality, substrings, urls, vectors
 
 
-#: End ids of the two packed formats and the vocabulary that the binary format has to hold.
-PACK_END, FILE_END, BYTE_VOCABULARY = 0, 2, 50_257
+#: End ids of the two packed formats.
+PACK_END, FILE_END = 0, 2
 
 
 def tokenizer(name: str) -> str:
@@ -39,8 +39,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = idfile.write(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), FILE_END, BYTE_VOCABULARY)
-    return idfile.read(spark, shards)
+    return idfile.read(idfile.write(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), FILE_END))
 
 
 def op4_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
