@@ -5,8 +5,8 @@ exp(alpha * score) of all ways to reach each byte; backward sampling walks from
 with its share. The random numbers are hashes of the row's key, the unit's place in the text and the step, so
 a row always gets the same segmentation, whatever the partitions.
 
-No piece has white space after another character, so the lattice falls apart into units of white space and
-the word after it. Lattices are built for the distinct units of a slice of texts, on arrays; every
+White space that no piece of the model has after another character cannot be inside a piece's word, so the lattice falls
+apart into units of such white space and what follows it. Lattices are built for the distinct units of a slice of texts, on arrays; every
 occurrence is sampled by itself.
 
 Decoding is lossless: a piece stands for its text with spaces for the model's space mark, characters without a
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from terrafold.llm.batches import NO_ID
 from terrafold.llm.tokens import _ranges
-from terrafold.llm.words import combine, find_words, hash_words, join_texts, mix
+from terrafold.llm.words import SPACE, combine, find_words, hash_words, join_texts, mix
 from terrafold.session import ship
 
 ALPHA, SEED, SLICE_BYTES = 0.002, 20_240_607, 3 << 19
@@ -36,6 +36,18 @@ _MARK = "▁"
 _U = np.uint64
 
 
+def unit_space(pieces: list[bytes]) -> np.ndarray:
+    """The bytes that units begin with: white space that no piece has after anything else (such as a carriage return after a semicolon)."""
+    space = SPACE.copy()
+    while True:
+        inner = {b for text in pieces for a, b in zip(text, text[1:], strict=False) if space[b] and not space[a]}
+        if not inner:
+            return space
+        if 10 in inner:  # documents are set apart by it
+            raise ValueError("the model has pieces that go on over a line's end")
+        space[list(inner)] = False
+
+
 class PieceModel:
     """Pieces of a model as a trie over bytes."""
 
@@ -55,6 +67,7 @@ class PieceModel:
                 text = sp.id_to_piece(i).replace(_MARK, " ").encode()
                 self.surface[i] = text
                 pieces.append((text, i, sp.get_score(i)))
+        self.space = unit_space([text for text, _, _ in pieces])
         if (self.byte_ids < 0).any():
             raise ValueError("the model has no byte pieces, so not every text can be encoded")
         self.byte_score = min(s for _, _, s in pieces) - 10.0
@@ -116,7 +129,7 @@ class PieceModel:
         """The sampled piece ids of each text."""
         texts = [b" " + t if t else b"" for t in texts]
         data, at = join_texts(texts)
-        starts, ends, first = find_words(data, at)
+        starts, ends, first = find_words(data, at, self.space)
         words = np.diff(first)
         # units: white space with the word after it; what follows the last word is one too
         begin = np.concatenate([[0], ends[:-1]]) if len(ends) else starts

@@ -36,10 +36,10 @@ def join_texts(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(x for t in texts for x in (t or b"", b"\n")) + bytes(8), dtype=np.uint8), at
 
 
-def find_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def find_words(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words in the buffer, and the first word's index of each document (one more for the end)."""
     solid = np.zeros(int(at[-1]) + 1, dtype=np.int8)
-    solid[1:] = ~SPACE[data[: at[-1]]]
+    solid[1:] = ~space[data[: at[-1]]]
     step = np.diff(solid)
     starts = np.flatnonzero(step == 1)
     ends = np.flatnonzero(step == -1)

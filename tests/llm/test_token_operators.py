@@ -103,36 +103,56 @@ def test_lower_bound_sees_large_pieces():
     assert packing.lower_bound(np.bincount([34] * 6, minlength=101), 100) == 3
 
 
-def test_id_files(docs, empty, spark):
-    shards = idfile.write(docs, BYTE, 2, 50_257)
-    got = Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in idfile.read(spark, shards).collect())
+@pytest.mark.parametrize("block", [4 << 20, 100])
+def test_id_files(docs, empty, monkeypatch, block):
+    monkeypatch.setattr(idfile, "BLOCK_BYTES", block)
+    manifest = idfile.write(docs, BYTE, 2)
+    rows = sorted(idfile.read(manifest).collect(), key=lambda r: r.start)
     want = Counter()
     for (i, _), ids in zip(DOCS, direct(BYTE), strict=True):
         want[i, len(ids) + 1, zlib.crc32(np.array([*ids, 2], dtype="<u4").tobytes())] += 1
-    assert got == want
-    rows = sorted(idfile.read(spark, shards).collect(), key=lambda r: r.start)
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == want
     assert [r.doc_id for r in rows if r.doc_id is not None] == sorted(i for i, _ in DOCS if i is not None) and rows[-1].doc_id is None
     at = 0
     for r in rows:
         assert r.start == at
         at += r.n_tokens
-    none = idfile.write(empty, BYTE, 2, 50_257)
-    assert none == [] and idfile.read(spark, none).count() == 0
-
+    none = idfile.write(empty, BYTE, 2)
+    assert none.count() == 0 and idfile.read(none).count() == 0
+
+
+def test_keyed_access_reads_little(docs, monkeypatch, tmp_path):
+    manifest = idfile.write(docs, BYTE, 2)
+    ids = dict(reversed(list(zip([i for i, _ in DOCS], direct(BYTE), strict=True))))
+    for key in (0, 309, 308, 301, None):
+        assert idfile.get(manifest, key).tolist() == [*ids[key], 2]
+    assert idfile.get(manifest, 10**6) is None and idfile.get(manifest, -1) is None
+    row = manifest.where("first <= 309 AND last >= 309").first()
+    shard, read = idfile.Shard(row.file), []
+    real = shard.file
+
+    class Counted:
+        def read_at(self, n, at):
+            read.append(n)
+            return real.read_at(n, at)
+
+    shard.file = Counted()
+    assert shard.get(309).tolist() == [*ids[309], 2]
+    assert sum(read) - 2 * (len(ids[309]) + 1) + 64 < 200  # displacement, slot, offsets and the footer, besides the ids
+    assert all(shard.rank(k) == -1 for k in range(10**6, 10**6 + 500))
+    keys = shard.words("keys", 0, shard.docs) if (setattr(shard, "file", real) is None) else None
+    assert [shard.rank(k) for k in keys.tolist()] == shard.ranks_of(keys).tolist()
+    bad = tmp_path / "bad.ids"
+    bad.write_bytes(b"x" * 100)
+    with pytest.raises(ValueError):
+        idfile.Shard(f"file://{bad}")
 
-def test_keyed_access_and_refusal(docs):
-    import pyarrow.fs as pafs
 
-    file = idfile.write(docs.coalesce(1), BYTE, 2, 50_257)[0][1]
-    fs, name = pafs.FileSystem.from_uri(file)
-    shard = idfile.Shard(fs.open_input_stream(name).read())
-    ids = dict(zip([i for i, _ in DOCS], direct(BYTE), strict=True))
-    for key in shard.keys[:20].tolist():
-        if key in ids:
-            assert shard.get(int(shard.ranks_of(np.array([key]))[0])).tolist() == [*ids[key], 2]
-    assert (shard.ranks_of(np.arange(10**6, 10**6 + 2000)) == -1).all()
+def test_units_begin_where_no_piece_goes_on():
+    space = pieces.unit_space([b" a", b";\r", b"\r\t"])
+    assert not space[[13, 9]].any() and space[[32, 10, 11, 12]].all()
     with pytest.raises(ValueError):
-        idfile.Shard(b"x" * 100)
+        pieces.unit_space([b"a\n"])
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 100, 5000])
@@ -152,29 +172,34 @@ def test_pieces(docs, empty):
     assert pieces.encode(empty, PIECE).count() == 0 and pieces.digest(empty, PIECE).count() == 0
 
 
-def test_pieces_are_sampled_by_their_weights():
+@pytest.mark.parametrize("text", [b" hello", b" x);\r\n"])
+def test_pieces_are_sampled_by_their_weights(text):
+    """The second has pieces that end in a carriage return."""
     import math
 
-    m = pieces.PieceModel(PIECE)
-    place = {s: i for i, s in enumerate(m.surface) if len(s) > 1 or (s and s.isalpha())}
     import sentencepiece
 
+    m = pieces.PieceModel(PIECE)
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
-    text, alpha, n = b" hello", 0.001, 20_000
+    own = {s: i for i, s in enumerate(m.surface) if s and not sp.is_byte(i)}
+    alpha, n = 0.001, 20_000
 
     def ways(k):
         if k == len(text):
             yield ()
         for e in range(k + 1, len(text) + 1):
-            i = next((j for j, s in enumerate(m.surface) if s == text[k:e] and not sp.is_byte(j)), None) if text[k:e] in place or e - k == 1 else None
+            i = own.get(text[k:e], int(m.byte_ids[text[k]]) if e - k == 1 else None)
             if i is not None:
                 for rest in ways(e):
                     yield (i, *rest)
 
-    weight = {w: math.exp(alpha * sum(sp.get_score(i) for i in w)) for w in ways(0)}
+    score = lambda i: m.byte_score if sp.is_byte(i) else sp.get_score(i)
+    weight = {w: alpha * sum(map(score, w)) for w in ways(0)}
+    top = max(weight.values())
+    weight = {w: math.exp(x - top) for w, x in weight.items()}
     total = sum(weight.values())
     got = Counter(tuple(x.tolist()) for x in m.sample([text[1:]] * n, np.arange(n), alpha))
-    assert set(got) <= set(weight)
+    assert set(got) <= set(weight) and len(weight) > 3
     assert max(abs(got[w] / n - weight[w] / total) for w in weight) < 0.015
     other = Counter(tuple(x.tolist()) for x in m.sample([text[1:]] * n, np.arange(n), alpha, seed=9))
     assert other != got
