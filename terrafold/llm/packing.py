@@ -3,8 +3,11 @@
 Pieces are dealt to partitions and packed by best-fit decreasing. Lower bounds from dual-feasible functions
 certify bin counts: the whole is done when its count meets the bound of all pieces. Until then bins are exchanged: from a
 partition with a gap to its own bound all that are not full, from a certified one those that are not nearly full.
-Groups of partitions merge these, pack them again and keep the better result, round after round with wider groups,
-until the count is certified or one group is left (or groups would outgrow a task).
+They are dealt to fewer groups, each packs its pieces again and keeps the better result, round after round. A group has
+no more than MOST pieces: where open bins are more than one group's, every round deals them anew, whole bins by a hash
+of the round, so that bins meet others than before. It ends when the count is certified, when one group is left, or
+when a round of groups that cannot be fewer has saved no bin. A row says whether its partition's last packing met its
+own bound, and whether all sequences together meet the bound of all pieces.
 
 Cases: a null or empty text is its end id alone; repeated rows are separate documents; an empty table gives
 an empty result; other columns are not read. A null id stays null.
@@ -26,7 +29,7 @@ from terrafold.llm.tokens import encoder
 from terrafold.session import materialize, ship
 
 SEQUENCE, END_ID = 2048, 0
-#: Pieces dealt to a partition, partitions that merge in a round, the most pieces one task packs, and the share of a
+#: Pieces dealt to a partition, partitions that merge in a round, the most pieces of a group, and the share of a
 #: sequence that a nearly full bin may lack.
 PER_PARTITION, MERGE, MOST, NEAR = 8_000, 6, 150_000, 64
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
@@ -104,15 +107,16 @@ def best_fit(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, in
 
 
 def assign(cut: DataFrame, length: int = SEQUENCE) -> DataFrame:
-    """cut's rows with sequence_id and offset."""
-    spark = cut.sparkSession
-    full = cut.where(F.col("length") == length).withColumns({"sequence_id": -F.col("row"), "offset": F.lit(0).cast("long")})
+    """cut's rows with sequence_id, offset, part_certified and certified."""
+    names = [x.split()[0] for x in _PIECES.split(", ")]
+    full = cut.where(F.col("length") == length).withColumns({"sequence_id": -F.col("row"), "offset": F.lit(0).cast("long"), "part_certified": F.lit(True)})
     rest = cut.where(F.col("length") < length)
-    n = rest.count()
+    sizes = {r.length: r.c for r in rest.groupBy("length").agg(F.count(F.lit(1)).alias("c")).collect()}  # at most one row a length
+    n = sum(sizes.values())
     if not n:
-        return full.drop("row")
-    parts = max(1, -(-n // PER_PARTITION))
-    schema = f"{_PIECES}, part long, bin long, offset long, final boolean"
+        return full.withColumn("certified", F.lit(True)).drop("row")
+    bound = lower_bound(np.array([sizes.get(k, 0) for k in range(length + 1)], dtype=np.int64), length)
+    schema = f"{_PIECES}, part long, bin long, offset long, proved boolean, final boolean"
 
     def packer(again: bool):
         def run(table: pa.Table) -> pa.Table:
@@ -125,37 +129,42 @@ def assign(cut: DataFrame, length: int = SEQUENCE) -> DataFrame:
             filled = np.bincount(bins, weights=sizes, minlength=used)
             proved = used <= lower_bound(np.bincount(sizes, minlength=length + 1), length)
             final = filled[bins] >= (length - length // NEAR if proved else length)
-            out = {k: table[k] for k in [x.split()[0] for x in _PIECES.split(", ")]}
-            return pa.table(out | {"part": table["part"], "bin": pa.array(bins, pa.int64()), "offset": pa.array(at, pa.int64()), "final": pa.array(final)})
+            out = {k: table[k] for k in names}
+            proofs = pa.array(np.full(len(sizes), proved))
+            return pa.table(out | {"part": table["part"], "bin": pa.array(bins, pa.int64()), "offset": pa.array(at, pa.int64()), "proved": proofs, "final": pa.array(final)})
 
         return run
 
-    dealt = rest.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
-    sizes = {r.length: r.c for r in rest.groupBy("length").agg(F.count(F.lit(1)).alias("c")).collect()}  # at most one row a length
-    bound = lower_bound(np.array([sizes.get(k, 0) for k in range(length + 1)], dtype=np.int64), length)
-    done, round_, closed = [], 0, 0
-    now = materialize(dealt.groupBy("part").applyInArrow(packer(False), schema), "packed0")
+    def packed(rows: DataFrame, parts: int, again: bool, tag: str) -> DataFrame:
+        spread = rows.repartition(int(min(parts, 20_000)), "part")  # one exchange, not coalesced: packing is slow for its bytes
+        return materialize(spread.groupBy("part").applyInArrow(packer(again), schema), tag)
+
+    parts = max(1, -(-n // PER_PARTITION))
+    done, round_, closed, before = [], 0, 0, None
+    now = packed(rest.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts))), parts, False, "packed0")
     while True:
         round_ += 1
-        left = now.where(~F.col("final"))
-        open_ = left.count()
-        groups = -(-parts // MERGE)
-        bins = {r.final: r.c for r in now.groupBy("final").agg(F.countDistinct("part", "bin").alias("c")).collect()}
-        closed += bins.get(True, 0)
-        last = not open_ or parts == 1 or open_ // groups > MOST or closed + bins.get(False, 0) <= bound
-        keep = now if last else now.where("final")
-        done.append(keep.select(*[x.split()[0] for x in _PIECES.split(", ")], "offset", (F.lit(round_).cast("long") * (1 << 56) + F.col("part") * (1 << 24) + F.col("bin")).alias("sequence_id")))
+        stats = {r.final: r for r in now.groupBy("final").agg(F.countDistinct("part", "bin").alias("bins"), F.count(F.lit(1)).alias("n")).collect()}  # two rows
+        closed += stats[True].bins if True in stats else 0
+        open_, total = (stats[False].n, closed + stats[False].bins) if False in stats else (0, closed)
+        groups = max(-(-parts // MERGE), -(-open_ // MOST))
+        stuck = groups >= parts and before is not None and total >= before
+        last = not open_ or parts == 1 or total <= bound or stuck
+        done.append((now if last else now.where("final")).select(*names, "offset", F.col("proved").alias("part_certified"), (F.lit(round_).cast("long") * (1 << 56) + F.col("part") * (1 << 24) + F.col("bin")).alias("sequence_id")))
         if last:
             break
-        moved = left.withColumn("old", F.col("part")).withColumn("part", F.floor(F.col("part") / MERGE).cast("long"))
-        now, parts = materialize(moved.groupBy("part").applyInArrow(packer(True), schema), f"packed{round_}"), groups
+        # few groups take whole partitions; groups that can't be fewer take bins, other ones in each round
+        to = F.floor(F.col("part") / MERGE) if groups < parts and groups * MERGE >= parts and open_ <= groups * MOST // 2 else F.pmod(F.xxhash64("part", "bin", F.lit(round_)), F.lit(groups))
+        moved = now.where(~F.col("final")).withColumn("old", F.col("part")).withColumn("part", F.least(to, F.lit(groups - 1)).cast("long"))
+        before = total
+        now, parts = packed(moved, groups, True, f"packed{round_}"), groups
     out = full
     for d in done:
         out = out.unionByName(d)
-    return out.drop("row")
+    return out.withColumn("certified", F.lit(total <= bound)).drop("row")
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
+    """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset, part_certified, certified)."""
     out = assign(pieces(docs, tokenizer, id_col, text_col, length, end_id), length)
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "part_certified", "certified")

@@ -81,6 +81,28 @@ def test_exchange_between_partitions_only_helps(spark, monkeypatch):
     assert bound <= len(fill) <= packing.best_fit(np.array(sizes), 100)[2] * 1.03
 
 
+def test_groups_of_bounded_size_go_on_exchanging(spark, monkeypatch):
+    """Groups can't merge into one; rounds still save bins, every piece keeps a place, and the verdict is the truth."""
+    monkeypatch.setattr(packing, "PER_PARTITION", 30)
+    monkeypatch.setattr(packing, "MOST", 60)
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(20, 70, 900).tolist()
+    cut = spark.createDataFrame([(i, 0, 0, s, 0, i + 1) for i, s in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long, row long")
+    rows = packing.assign(cut, 100).collect()
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert len(rows) == 900 and all(sum(n for _, n in b) <= 100 for b in bins.values())
+    for b in bins.values():
+        at = 0
+        for offset, size in sorted(b):
+            assert offset == at
+            at += size
+    bound = packing.lower_bound(np.bincount(sizes, minlength=101), 100)
+    alone = sum(packing.best_fit(np.array(sizes[k : k + 30]), 100)[2] for k in range(0, 900, 30))
+    assert bound <= len(bins) < alone and {r.certified for r in rows} == {len(bins) <= bound}
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_lower_bound_is_a_bound(seed):
     """Bins that are full by construction: no bound may exceed their number; best fit may not fall below the bound."""
