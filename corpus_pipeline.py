@@ -1,8 +1,12 @@
 """The corpus pipeline: quality rules, near-duplicates, repeated substrings, packing.
 
 Every stage works on all that its predecessor kept. A stage's result must be written before the next stage is called on
-what was written; frames that are chained unwritten keep their tables. STAGES' functions take (spark, docs, sf_dir); all but the
-last return the columns of documents. run() chains them over the documents of a folder.
+what was written, in the same session; frames that are chained unwritten keep their tables. STAGES' functions take (spark, docs,
+sf_dir); all but the last return the columns of documents. run() chains them over the documents of a folder.
+
+Cases, as the operators have them: a null or empty text fails the quality rules; a null source has no host verdict; rows with
+equal ids stay or go together as near-duplicates and don't remove each other's passages; a null id is larger than all others;
+an empty table gives empty results at every stage; extra columns, whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -22,8 +26,8 @@ SHINGLE = 5
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Tables that earlier stages have put into the shared folder.
-_HELD: list[str] = []
+#: Tables that earlier stages of a session have put into the shared folder.
+_HELD: dict[tuple[str, int], list[str]] = {}
 
 
 def stage(fn: Stage) -> Stage:
@@ -31,14 +35,14 @@ def stage(fn: Stage) -> Stage:
 
     @functools.wraps(fn)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        files = docs.inputFiles() if _HELD else []
-        names = [path.rpartition("/")[2] for path in _HELD]
-        if _HELD and not any(name in file for file in files for name in names):
-            discard(spark, _HELD)
-            _HELD.clear()
+        held = _HELD.setdefault((spark.sparkContext.applicationId, id(spark)), [])
+        files = docs.inputFiles() if held else []
+        if held and not any(path.rpartition("/")[2] in file for file in files for path in held):
+            discard(spark, held)
+            held.clear()
         before = len(made())
         out = fn(spark, docs, sf_dir)
-        _HELD.extend(made(before))
+        held.extend(made(before))
         return out
 
     return run

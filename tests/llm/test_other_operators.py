@@ -3,12 +3,14 @@
 import math
 import random
 import time
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrafold.llm import links, mainhtml, urls, vectors
+from terrafold.llm import links, mainhtml, packing, quality, urls, vectors
+from tests.llm import test_text_operators as text_brute
 from tests.llm.conftest import DOCS
 
 
@@ -274,3 +276,72 @@ def test_pipeline(spark, docs, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == {r.doc_id for r in frame.collect()} and 0 < len({r.doc_id for r in out}) < len(DOCS)
     assert 200 in {r.doc_id for r in out} and 201 not in {r.doc_id for r in out}
+
+
+def fails(t):
+    w = (t or "").encode().split()
+    grams = Counter(zip(w, w[1:], w[2:], strict=False))
+    hit = {k + d for k, g in enumerate(zip(w, w[1:], w[2:], strict=False)) if grams[g] > 1 for d in range(3)}
+    return len(w) < quality.MIN_WORDS or 100 * len(hit) > quality.MAX_REPEAT_PERCENT * len(w)
+
+
+def rejected_hosts(rows):
+    hosts = defaultdict(list)
+    for _, t, host in rows:
+        if host is not None:
+            hosts[host].append(fails(t))
+    n, x = [len(v) for v in hosts.values()], [sum(v) for v in hosts.values()]
+    m = sum(x) / sum(n)
+    free, room = len(n) - 1, sum(n) - sum(k * k for k in n) / sum(n) - (len(n) - 1)
+    spread = sum(k * (y / k - m) ** 2 for k, y in zip(n, x, strict=True))
+    r = min(max((spread / (m * (1 - m)) - free) / room, quality.LEAST_CORRELATION), 1) if 0 < m < 1 and room > 0 else quality.LEAST_CORRELATION
+    k = 1 / r - 1
+    return {h for h, v in hosts.items() if (sum(v) + m * k) / (len(v) + k) > quality.MAX_RATE}
+
+
+def test_every_stage_against_brute_force(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    r = random.Random(11)
+    vocab = [f"v{i}" for i in range(500)]
+    text = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    passage = text(60)
+    rows = [(i, text(r.randint(60, 150)) + " " + (passage if i % 9 == 0 else ""), f"s{i % 4}") for i in range(60)]
+    rows += [(100 + i, text(20) if i % 6 else text(80), "farm") for i in range(30)]
+    near = text(120)
+    rows += [(200 + i, near + (" x" * i), "s1") for i in range(4)] + [(210, rows[5][1], "s2"), (211, None, "s0"), (212, "", None), (213, "again and again " * 40, "s3"), (214, text(70), None)]
+    spark.createDataFrame([(i, t, "en", h, len(t or "")) for i, t, h in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    bad = rejected_hosts(rows)
+    assert bad == {"farm"}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted((i, t) for i, t, h in rows if not fails(t) and h not in bad)
+    for (name, stage), step in zip(corpus_pipeline.STAGES, (None, near_step, passage_step, None), strict=True):
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        if name == "best_fit_packing":
+            break
+        want = step(want) if step else want
+        got = sorted((x.doc_id, x.text) for x in docs.collect())
+        assert got == want and 0 < len(got) < len(rows), name
+        assert all(x.n_chars == len(x.text) for x in docs.collect())
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    sizes = {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in want}
+    out = docs.collect()
+    assert {x.doc_id: x.length for x in out} == sizes  # no text is as long as a sequence
+    bins = defaultdict(list)
+    for x in out:
+        bins[x.sequence_id].append((x.offset, x.length))
+    assert all(sum(n for _, n in b) <= 2048 for b in bins.values()) and len(bins) <= packing.best_fit(np.array(list(sizes.values())), 2048)[2]
+    assert sorted((x.doc_id, x.length) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(sizes.items())
+
+
+def near_step(rows):
+    return sorted((i, t) for (i, t), (j, _, c) in zip(sorted(rows, key=lambda x: str(x[0])), text_brute.components(5, sorted(rows, key=lambda x: str(x[0]))), strict=True) if i == j == c)
+
+
+def passage_step(rows):
+    gone = {i: (n, kept) for i, _, n, kept in text_brute.removed(13, rows)}
+    return sorted((i, gone[i][1] if gone[i][0] else t) for i, t in rows)

@@ -44,16 +44,16 @@ def test_packed_ints_and_batches_round_trip():
 # substrings
 
 
-def removed(window):
+def removed(window, docs=DOCS):
     first = {}
-    order = sorted(range(len(DOCS)), key=lambda k: BIG if DOCS[k][0] is None else DOCS[k][0])
+    order = sorted(range(len(docs)), key=lambda k: BIG if docs[k][0] is None else docs[k][0])
     for k in order:
-        i = BIG if DOCS[k][0] is None else DOCS[k][0]
-        w = split(DOCS[k][1])
+        i = BIG if docs[k][0] is None else docs[k][0]
+        w = split(docs[k][1])
         for a in range(len(w) - window + 1):
             first.setdefault(tuple(w[a : a + window]), i)
     out = []
-    for i, t in DOCS:
+    for i, t in docs:
         w, key = split(t), BIG if i is None else i
         gone = [False] * len(w)
         for a in range(len(w) - window + 1):
@@ -161,9 +161,9 @@ def shingles(t, n):
     return frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)]) if w else frozenset()
 
 
-def components(n):
-    ids = [BIG if i is None else i for i, _ in DOCS]
-    sets = [shingles(t, n) for _, t in DOCS]
+def components(n, docs=DOCS):
+    ids = [BIG if i is None else i for i, _ in docs]
+    sets = [shingles(t, n) for _, t in docs]
     root = {i: i for i in ids}
 
     def find(i):
@@ -171,13 +171,13 @@ def components(n):
             i = root[i]
         return i
 
-    for a in range(len(DOCS)):
+    for a in range(len(docs)):
         for b in range(a):
             x, y = sets[a], sets[b]
             if x and y and 100 * len(x & y) >= 80 * len(x | y):
                 p, q = find(ids[a]), find(ids[b])
                 root[max(p, q)] = min(p, q)
-    return sorted(((i, len(s), find(BIG if i is None else i)) for (i, _), s in zip(DOCS, sets, strict=True)), key=str)
+    return sorted(((i, len(s), find(BIG if i is None else i)) for (i, _), s in zip(docs, sets, strict=True)), key=str)
 
 
 @pytest.mark.parametrize("n", [1, 2, 5])
