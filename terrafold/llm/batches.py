@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.llm.words import numbered
 from terrafold.session import materialize, plan_bytes, ship
 
 #: Text bytes and documents that close a batch; a longer document is a batch of its own.
@@ -228,8 +229,8 @@ def distinct_pairs(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.n
         k, c = key[order], check[order]
     head = np.ones(len(k), dtype=bool)
     head[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-    where = np.empty(len(k), dtype=np.int64)
-    where[order] = np.cumsum(head) - 1
+    where = np.empty(len(k), dtype=np.int32)
+    where[order] = np.cumsum(head, dtype=np.int32) - np.int32(1)
     return k[head], c[head], where
 
 
@@ -278,7 +279,7 @@ class _Gathered:
             check = np.concatenate([np.frombuffer(unsqueeze(r[4]), dtype="<u4") for r in self.rows])
             self.keys, self.check, self.where = distinct_pairs(flat, check)
         else:
-            self.keys, self.where = np.unique(flat, return_inverse=True)
+            self.keys, self.where = numbered(flat)
             self.check = None
 
 

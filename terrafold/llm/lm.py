@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.llm.batches import FAN, NO_ID, ROWS, Fold, buckets_for, by_bucket, exchange, fresh, load_batch, pack, pack_ints, pack_keys, rows_of, squeeze, tasks_for, trim, unpack_ints, unsqueeze
-from terrafold.llm.words import LOWER, combine, find_words, hash_words, join_texts
+from terrafold.llm.words import LOWER, combine, find_words, hash_words, join_texts, numbered
 from terrafold.session import materialize
 
 _U = np.uint64
@@ -70,9 +70,8 @@ class _Tokens:
         three = (combine(two[inner - 1], one[inner]) & ~_LOW) | _U(4)
         n, every = len(one), np.concatenate([one, two, three, [_START_KEY]])
         del one, two, three, before, inner
-        self.keys, where = np.unique(every, return_inverse=True)
+        self.keys, where = numbered(every)
         del every
-        where = where.astype(np.int32)
         self.one, self.two, self.three, self.start = where[:n], where[n : 2 * n], where[2 * n : -1], where[-1]
         self.before = np.empty(n, dtype=where.dtype)
         self.before[1:] = self.one[:-1]

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from terrafold.llm.batches import FAN, NO_ID, ROWS, Fold, buckets_for, by_bucket, distinct_pairs, exchange, fresh, load_batch, load_rows, pack, pack_check, pack_ints, pack_keys, rows_of, tasks_for, trim, unpack_ints
-from terrafold.llm.words import combine, distinct, find_words, hash_words, join_texts, mix
+from terrafold.llm.words import combine, distinct, find_words, hash_words, join_texts, mix, numbered
 
 _U = np.uint64
 WINDOW, CHUNK = 13, 1 << 16
@@ -50,7 +50,7 @@ def compress(names: np.ndarray, first: np.ndarray, round_: int) -> tuple[np.ndar
     edge[first] = True
     head = edge[:n].copy()
     head[1:] |= names[1:] != names[:-1]
-    run_of = np.cumsum(head) - 1
+    run_of = np.cumsum(head, dtype=np.int32) - 1
     start = np.flatnonzero(head)
     size = np.diff(np.append(start, n))
     runs = names[start]
@@ -60,7 +60,7 @@ def compress(names: np.ndarray, first: np.ndarray, round_: int) -> tuple[np.ndar
     second = np.zeros(len(runs), dtype=bool)
     if len(runs):
         second[1:] = ~right[:-1] & right[1:] & ~edge[start[1:]]
-    symbol_of = np.cumsum(~second) - 1
+    symbol_of = np.cumsum(~second, dtype=np.int32) - 1
     kept = np.flatnonzero(~second)
     out = runs[kept]
     pairs = np.flatnonzero(second)
@@ -94,7 +94,7 @@ def anchors(names: np.ndarray, first: np.ndarray, at: np.ndarray, window: int) -
         words = mix(names)
     out = np.zeros(len(at), dtype=np.uint64)
     for k in range(0, len(at), CHUNK):
-        out[k : k + CHUNK] = _anchors(words, levels, at[k : k + CHUNK], window)
+        out[k : k + CHUNK] = _anchors(words, levels, at[k : k + CHUNK].astype(np.int64), window)
     return out
 
 
@@ -144,11 +144,12 @@ class Parsed:
         data, at = join_texts(self.texts)
         starts, ends, self.first = find_words(data, at)
         self.names = hash_words(data, starts, ends)
+        del data, starts, ends
         self.words = np.diff(self.first)
         spare = np.maximum(self.words - window + 1, 0)
-        self.doc = np.repeat(np.arange(len(self.ids)), spare)
+        self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), spare)
         begin = np.concatenate([[0], np.cumsum(spare)])[:-1]
-        self.at = np.arange(spare.sum()) + np.repeat(self.first[:-1] - begin, spare)
+        self.at = np.arange(spare.sum(), dtype=np.int32) + np.repeat((self.first[:-1] - begin).astype(np.int32), spare)
         self.anchor = anchors(self.names, self.first, self.at, window)
 
 
@@ -206,7 +207,7 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, window: int, whole: bool
                 own = np.ones(len(p.anchor), dtype=bool)
                 own[1:] = (p.anchor[1:] != p.anchor[:-1]) | (p.doc[1:] != p.doc[:-1])
                 anchor, doc = p.anchor[own], p.doc[own]
-                keys, where = np.unique(anchor, return_inverse=True)
+                keys, where = numbered(anchor)
                 low, high = np.full(len(keys), len(p.ids)), np.full(len(keys), -1)
                 np.minimum.at(low, where, doc)
                 np.maximum.at(high, where, doc)
@@ -224,8 +225,9 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, window: int, whole: bool
 
     def windows(p: Parsed, cand: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """96 bits of the words of each distinct candidate window, and where each candidate is among them."""
-        key = grams(p.names, p.at[cand], window)
-        check = grams(mix(p.names ^ _CHECK), p.at[cand], window) >> _U(32)
+        at = p.at[cand].astype(np.int64)
+        key = grams(p.names, at, window)
+        check = (grams(mix(p.names ^ _CHECK), at, window) >> _U(32)).astype(np.uint32)
         return distinct_pairs(key, check)
 
     def tidy(fn):
@@ -257,7 +259,7 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, window: int, whole: bool
             keys, _, where = windows(p, cand)
             found = of_round(right, 2)
             least = np.concatenate([unpack_ints(found[b]) for b, _ in by_bucket(keys, buckets)])
-            hit = p.at[cand[least[where] < _order(p.ids)[p.doc[cand]]]]
+            hit = p.at[cand[least[where] < _order(p.ids)[p.doc[cand]]]].astype(np.int64)
             np.add.at(gone, hit, 1)
             np.add.at(gone, hit + window, -1)
         covered = np.cumsum(gone[:-1]) > 0

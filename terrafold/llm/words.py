@@ -13,6 +13,8 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Words that are hashed at once, so that what they need stays in the cache.
+CHUNK = 1 << 15
 _K1, _K2, _K3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 
 
@@ -48,6 +50,13 @@ def find_words(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> t
 
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hashes of the words, eight bytes a step. data ends in eight spare bytes."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    for k in range(0, len(starts), CHUNK):
+        out[k : k + CHUNK] = _hash_chunk(data, starts[k : k + CHUNK], ends[k : k + CHUNK], seed)
+    return out
+
+
+def _hash_chunk(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
     size = (ends - starts).astype(np.int64)
     window = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data.data, strides=(1,))
     out = mix(size.astype(_U) * _K1 + _U(seed & 0xFFFFFFFFFFFFFFFF))
@@ -70,3 +79,16 @@ def distinct(x: np.ndarray) -> np.ndarray:
     """Sorted distinct values; numpy's own goes through a hash table, which is slow for many large values."""
     s = np.sort(x)
     return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
+
+
+def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and where each is among them; in less memory than numpy's own."""
+    order = np.argsort(x)
+    s = x[order]
+    head = np.ones(len(s), dtype=bool)
+    np.not_equal(s[1:], s[:-1], out=head[1:])
+    s = s[head]
+    number = np.cumsum(head, dtype=np.int32) - np.int32(1)
+    where = np.empty(len(x), dtype=np.int32)
+    where[order] = number
+    return s, where
