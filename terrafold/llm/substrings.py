@@ -282,11 +282,11 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, window: int, whole: bool
         return pa.table({"doc_id": keys, "n_words": pa.array(p.words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "text": pa.array(out, pa.binary()).cast(pa.string())})
 
     rows = packed.select("batch", "payload")
-    numbered = lambda answers, k: answers.where("batch >= 0").select("bucket", "batch", F.lit(k).alias("round"), "answer")
+    of_step = lambda answers, k: answers.where("batch >= 0").select("bucket", "batch", F.lit(k).alias("round"), "answer")
     met = lambda df: df.repartition(tasks, "batch").groupBy("batch")
-    one = numbered(exchange(rows.mapInArrow(count, ROWS), buckets, total, batches, _Shared(), "anchors"), 1)
+    one = of_step(exchange(rows.mapInArrow(count, ROWS), buckets, total, batches, _Shared(), "anchors"), 1)
     found = met(rows).cogroup(met(one)).applyInArrow(tidy(verify), ROWS)
-    two = numbered(exchange(found, buckets, total, batches, _Earliest(), "windows", write=False), 2)
+    two = of_step(exchange(found, buckets, total, batches, _Earliest(), "windows", write=False), 2)
     both = met(one.unionByName(two))
     if not whole:
         return met(rows).cogroup(both).applyInArrow(tidy(finish), "doc_id long, n_words long, n_removed long, text string")
