@@ -9,44 +9,30 @@ from pyspark.sql import functions as F
 ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 LENGTH = 12
-_SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
-
-
 def _let(value: Column, fn) -> Column:
     """fn(value) with value computed once: keeps nested expressions of linear size."""
     return F.transform(F.array(value), fn)[0]
 
 
-def _spread(v: Column) -> Column:
-    """A zero bit before each bit."""
-    for shift, mask in _SPREAD:
-        v = _let(v, _open(shift, mask))
-    return v
-
-
-def _open(shift: int, mask: int):
-    return lambda x: x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+def _pairs() -> Column:
+    """The two characters for five bits of longitude and five of latitude, which alternate from a longitude's on."""
+    mixed = [sum(((lon >> i & 1) << (2 * i + 1)) | ((lat >> i & 1) << 2 * i) for i in range(5)) for lon in range(32) for lat in range(32)]
+    return F.split(F.lit(" ".join(ALPHABET[m >> 5] + ALPHABET[m & 31] for m in mixed)), " ")  # folded to a constant array
 
 
 def encode(x: Column, y: Column) -> Column:
     """Twelve characters for longitude x and latitude y; an error outside +-180 and +-90, null for null."""
     cell = lambda v, span: F.least(F.floor((v / span + 0.5) * (1 << 30)).cast("long"), F.lit((1 << 30) - 1))
-    bits = F.shiftleft(_spread(cell(x, 360.0)), 1).bitwiseOR(_spread(cell(y, 180.0)))
-    text = F.translate(F.lpad(F.conv(bits.cast("string"), 10, 32), LENGTH, "0"), DIGITS, ALPHABET)
+    lon, lat, pairs = cell(x, 360.0), cell(y, 180.0), _pairs()
+    five = lambda v, k: F.shiftright(v, k).bitwiseAND(F.lit(31))
+    text = F.concat(*[F.get(pairs, (five(lon, k) * 32 + five(lat, k)).cast("int")) for k in range(25, -1, -5)])
     bad = (F.abs(x) > 180) | (F.abs(y) > 90) | F.isnan(x) | F.isnan(y)
     return F.when(x.isNull() | y.isNull(), F.lit(None).cast("string")).when(bad, F.raise_error(F.lit("coordinates are outside the GeoHash range")).cast("string")).otherwise(text)
 
 
 def _compact(v: Column) -> Column:
-    """Every second bit, the lowest first: _spread backwards."""
-    v = v.bitwiseAND(F.lit(_SPREAD[-1][1]))
-    for (shift, _), mask in zip(_SPREAD[::-1], [m for _, m in _SPREAD[-2::-1]] + [0x00000000FFFFFFFF], strict=True):
-        v = _let(v, _fold(shift, mask))
-    return v
-
-
-def _fold(shift: int, mask: int):
-    return lambda x: x.bitwiseOR(F.shiftright(x, shift)).bitwiseAND(F.lit(mask))
+    """Every second bit, the lowest first: digits in base 4 read as binary ones."""
+    return F.conv(F.conv(v.bitwiseAND(F.lit(0x5555555555555555)).cast("string"), 10, 4), 2, 10).cast("long")
 
 
 def decode_box(h: Column) -> Column:

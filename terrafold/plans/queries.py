@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from terrafold.functions import columns as C
 from terrafold.functions.registry import register_all
 from terrafold.operators.spatial import distance_join, spatial_filter, spatial_join
-from terrafold.session import ship
+from terrafold.session import fresh_path, ship
+from terrafold.sources import flatgeobuf, geojson, geoparquet
+from terrafold.streaming.extents import windowed_extent
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -277,3 +279,51 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["flagship"] = flagship
 ORACLES["flagship"] = _CTE + _RECTS + f"SELECT priority, count(*) AS pairs, sum((x1 - x0) * (y1 - y0)) AS area, min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax FROM b JOIN r ON {_ON} GROUP BY priority"
+
+
+# sources: written below the shared folder, then read
+def _source(write: Callable[[DataFrame, str], None], read: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        flatgeobuf.register(spark)
+        path = fresh_path(spark, "source")
+        write(base(spark, sf_dir).select("k", F.concat(F.lit("n"), F.col("k") % 9).alias("name"), "w", _pt().alias("geometry")).repartition(3), path)
+        back = read(spark, path)
+        return back.select(F.col("k").cast("long").alias("k"), "name", "w", C.st_x("geometry").alias("px"), C.st_y("geometry").alias("py"))
+
+    return run
+
+
+_BOX = "0,0,90,45"
+_to_fgb = lambda df, path: df.write.format("flatgeobuf").mode("append").option("crs", "4326").save(path)
+_to_json = lambda df, path: geojson.write(df.withColumnRenamed("k", "id"), path)
+_of_json = lambda spark, path: geojson.read(spark, path, "name string, w double").withColumnRenamed("id", "k")
+QUERIES |= {
+    "source_flatgeobuf": _source(_to_fgb, lambda spark, path: spark.read.format("flatgeobuf").load(path)),
+    "source_flatgeobuf_box": _source(_to_fgb, lambda spark, path: spark.read.format("flatgeobuf").option("bbox", _BOX).load(path)),
+    "source_geoparquet": _source(geoparquet.write, geoparquet.read),
+    "source_geoparquet_box": _source(geoparquet.write, lambda spark, path: geoparquet.read_box(spark, path, *(float(v) for v in _BOX.split(",")))),
+    "source_geojson": _source(_to_json, _of_json),
+}
+_ROWS = _CTE + "SELECT k, 'n' || CAST(k % 9 AS VARCHAR) AS name, w, x AS px, y AS py FROM b"
+ORACLES |= {f"source_{n}": _ROWS for n in ("flatgeobuf", "geoparquet", "geojson")}
+ORACLES |= {f"source_{n}_box": _ROWS + " WHERE x BETWEEN 0 AND 90 AND y BETWEEN 0 AND 45" for n in ("flatgeobuf", "geoparquet")}
+
+
+# a stream of orders: extents of four weeks
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    path, k = fresh_path(spark, "stream"), F.col("o_orderkey")
+    orders = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/orders.parquet").schema).parquet(f"{sf_dir}/orders.parquet*")  # a file or a folder
+    p = C.st_point(((k * 41) % 23040).cast("double") / 64 - 180, ((k * 59) % 11520).cast("double") / 64 - 90)
+    when = F.timestamp_seconds(F.unix_date(F.to_date("o_orderdate")).cast("long") * 86400)
+    out = windowed_extent(orders.select(when.alias("t"), C.box2d(p).alias("box")), "t", F.col("box"), "28 days", "1 day")
+    out = out.select(F.floor(F.unix_seconds("start") / 86400).cast("long").alias("day"), "n", "extent.*")
+    sink = lambda df, _: df.write.mode("overwrite").parquet(f"{path}/out")
+    out.writeStream.foreachBatch(sink).outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+QUERIES["stream_extent"] = _stream
+ORACLES["stream_extent"] = """SELECT CAST(floor(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) / 28) * 28 AS BIGINT) AS day, count(*) AS n,
+  min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax
+FROM (SELECT o_orderdate, CAST((o_orderkey * 41) % 23040 AS DOUBLE) / 64 - 180 AS x, CAST((o_orderkey * 59) % 11520 AS DOUBLE) / 64 - 90 AS y FROM orders) GROUP BY 1"""

@@ -29,7 +29,8 @@ TYPES = ("Byte", "UByte", "Bool", "Short", "UShort", "Int", "UInt", "Long", "ULo
 _FIXED = {0: "b", 1: "B", 2: "?", 3: "h", 4: "H", 5: "i", 6: "I", 7: "q", 8: "Q", 9: "f", 10: "d"}
 _SPARK = {0: ByteType(), 1: ShortType(), 2: BooleanType(), 3: ShortType(), 4: IntegerType(), 5: IntegerType(), 6: LongType(), 7: LongType(), 8: LongType(), 9: FloatType(), 10: DoubleType(), 11: StringType(), 12: StringType(), 13: StringType(), 14: BinaryType()}
 _OF_SPARK = {"tinyint": 0, "boolean": 2, "smallint": 3, "int": 5, "bigint": 7, "float": 9, "double": 10, "string": 11, "binary": 14}
-RANGE_FEATURES = 50_000
+#: Features of a task, and features that are looked at for columns where a header has none.
+RANGE_FEATURES, SCAN = 50_000, 1000
 
 
 # FlatBuffers, as far as needed
@@ -311,17 +312,26 @@ def pack_feature(g: wkb.Geometry | None, values: list, columns: list[tuple[str,
     return struct.pack("<I", len(body)) + body
 
 
+def own_columns(buf: bytes) -> list[tuple[str, int]]:
+    """The columns that a feature brings itself, which it may if the header has none."""
+    return [(c.text(0) or "", c.scalar(1, "B", 0)) for c in _root(buf).tables(2)]
+
+
 def unpack_feature(buf: bytes, header: Header) -> tuple[wkb.Geometry | None, list]:
     t = _root(buf)
     g = t.table(0)
-    values: list = [None] * len(header.columns)
+    mine = [] if header.columns else own_columns(buf)
+    columns = header.columns or mine
+    values: list = [None] * len(columns)
     props = t.vector(1, "u1")
     if props is not None:
         raw, at = props.tobytes(), 0
         while at + 2 <= len(raw):
             (i,) = struct.unpack_from("<H", raw, at)
             at += 2
-            kind = header.columns[i][1]
+            if i >= len(columns):
+                raise ValueError("a feature has a property that neither it nor the header describes")
+            kind = columns[i][1]
             if kind in _FIXED:
                 (values[i],) = struct.unpack_from("<" + _FIXED[kind], raw, at)
                 at += struct.calcsize("<" + _FIXED[kind])
@@ -330,7 +340,7 @@ def unpack_feature(buf: bytes, header: Header) -> tuple[wkb.Geometry | None, lis
                 body = raw[at + 4 : at + 4 + n]
                 values[i] = body if kind == 14 else body.decode()
                 at += 4 + n
-    return (_unpack_geometry(g, header.kind) if g is not None else None), values
+    return (_unpack_geometry(g, header.kind) if g is not None else None), dict(zip((n for n, _ in mine), values, strict=True)) if mine else values
 
 
 # files
@@ -455,7 +465,11 @@ class FlatGeobufReader(DataSourceReader):
                     start += 4 + n
                     if box is not None and (g is None or wkb.is_empty(g) or not _meets(g, box)):
                         continue
-                    rows.append([(wkb.write(g) if g is not None else None) if w == "geometry" and p < 0 else values[p] if p >= 0 else None for w, p in zip(want, places, strict=True)])
+                    if not names:  # a feature's own columns, by name
+                        shape = {"geometry": wkb.write(g) if g is not None else None}
+                        rows.append([(shape | dict(values)).get(w) for w in want])
+                    else:
+                        rows.append([(wkb.write(g) if g is not None else None) if w == "geometry" and p < 0 else values[p] if p >= 0 else None for w, p in zip(want, places, strict=True)])
                     if len(rows) >= 4096:
                         yield batch()
                         rows = []
@@ -483,11 +497,11 @@ class FlatGeobufWriter(DataSourceWriter):
         for f in schema.fields:
             if f.name != options.get("geometry", "geometry") and f.dataType.simpleString() not in _OF_SPARK:
                 raise ValueError(f"FlatGeobuf has no type for {f.name} {f.dataType.simpleString()}")
+        self.old: list[str] = []  # goes when the new files are all there
         if overwrite:
             fs, name = _open(options["path"])
             if fs.get_file_info(name).type == pafs.FileType.Directory:
-                for path in list_files(options["path"]):
-                    fs.delete_file(_open(path)[1])
+                self.old = list_files(options["path"])
 
     def write(self, iterator) -> _Written:
         from pyspark import TaskContext
@@ -506,7 +520,9 @@ class FlatGeobufWriter(DataSourceWriter):
         return _Written(file, write_file(file, rows, columns, int(self.options.get("crs", 0))))
 
     def commit(self, messages) -> None:
-        pass
+        for path in self.old:
+            fs, name = _open(path)
+            fs.delete_file(name)
 
     def abort(self, messages) -> None:
         for m in messages:
@@ -515,22 +531,47 @@ class FlatGeobufWriter(DataSourceWriter):
                 fs.delete_file(name)
 
 
+def _first_columns(f, at: int) -> list[tuple[str, int]]:
+    """Columns of up to SCAN features, for files whose header has none."""
+    found: dict[str, int] = {}
+    end = f.size()
+    for _ in range(SCAN):
+        if at + 4 > end:
+            break
+        (n,) = struct.unpack("<I", f.read_at(4, at))
+        for name, kind in own_columns(f.read_at(n, at + 4)):
+            if found.setdefault(name, kind) != kind:
+                raise ValueError(f"features disagree on the type of {name}")
+        at += 4 + n
+    return list(found.items())
+
+
 class FlatGeobufSource(DataSource):
     @classmethod
     def name(cls) -> str:
         return "flatgeobuf"
 
     def schema(self) -> StructType:
-        """Columns of all files' headers, then geometry."""
+        """Columns of all files' headers (without any, those of a file's first features), then geometry with its type and crs as metadata."""
         found: dict[str, int] = {}
+        kinds, codes = set(), set()
         for path in list_files(self.options["path"]):
             fs, name = _open(path)
             with fs.open_input_file(name) as f:
-                for n, t in _head(f)[0].columns:
+                header, at = _head(f)
+                kinds.add(header.kind)
+                codes.add(header.crs)
+                for n, t in header.columns or _first_columns(f, at + index_bytes(header.count, header.node_size)):
                     if found.setdefault(n, t) != t:
                         raise ValueError(f"files disagree on the type of {n}")
+        about = {"encoding": "WKB"}
+        if len(kinds) == 1 and (kind := kinds.pop()) in wkb.NAMES:
+            about["geometry_type"] = wkb.NAMES[kind]
+        if len(codes) == 1 and (code := codes.pop()):
+            about |= {"crs": f"EPSG:{code}", "crs_type": "authority_code"}
         wanted = [c.strip() for c in self.options["columns"].split(",")] if self.options.get("columns") else [*found, "geometry"]
-        return StructType([StructField(n, BinaryType() if n == "geometry" and n not in found else _SPARK[found[n]]) for n in wanted])
+        shape = lambda n: n == "geometry" and n not in found
+        return StructType([StructField(n, BinaryType(), metadata=about) if shape(n) else StructField(n, _SPARK[found[n]]) for n in wanted])
 
     def reader(self, schema: StructType) -> FlatGeobufReader:
         return FlatGeobufReader(schema, self.options)

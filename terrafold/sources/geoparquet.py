@@ -46,13 +46,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write(df: DataFrame, path: str, geometry: str = "geometry", covering: bool = True, crs: dict | None = None, mode: str = "errorifexists") -> None:
-    """Write df with its geo key; covering adds a struct column named bbox."""
+    """Write df with its geo key; covering adds a struct column named bbox, so df must not have one. Appending leaves older files as they are."""
     spark = df.sparkSession
     ship(spark)
+    if covering and "bbox" in [c.lower() for c in df.columns]:
+        raise ValueError("df has a column named bbox: rename it or write with covering=False")
+    before = set(_files(spark, path)) if mode == "append" else set()
     if covering:
         df = df.withColumn("bbox", C.box2d(geometry))
     df.write.mode(mode).parquet(path)
-    files = _files(spark, path)
+    files = [f for f in _files(spark, path) if f not in before]
     about: dict = {"encoding": "WKB", "geometry_types": []}
     if crs is not None:
         about["crs"] = crs

@@ -86,3 +86,46 @@ def test_geoparquet(spark, tmp_path):
     near = geoparquet.read_box(spark, path, 5, 5, 7, 7)
     assert [r.id for r in near.collect()] == [5]
     assert "PushedFilters" in near._jdf.queryExecution().executedPlan().toString() and "bbox.xmin" in near._jdf.queryExecution().executedPlan().toString()
+
+
+def test_flatgeobuf_metadata_and_overwrite(spark, tmp_path):
+    flatgeobuf.register(spark)
+    path = f"{tmp_path}/m"
+    pts = spark.range(5).select(C.F.col("id").cast("int").alias("id"), C.st_point(C.F.col("id"), C.F.lit(1.0)).alias("geometry"))
+    pts.coalesce(1).write.format("flatgeobuf").mode("append").option("crs", "4326").save(path)
+    assert spark.read.format("flatgeobuf").load(path).schema["geometry"].metadata["crs"] == "EPSG:4326"
+    failing = pts.withColumn("id", C.F.when(C.F.col("id") == 3, C.F.raise_error(C.F.lit("no")).cast("int")).otherwise(C.F.col("id")))
+    with pytest.raises(Exception):
+        failing.write.format("flatgeobuf").mode("overwrite").save(path)
+    assert spark.read.format("flatgeobuf").load(path).count() == 5  # what was there stays
+    pts.where("id < 2").write.format("flatgeobuf").mode("overwrite").save(path)
+    assert sorted(r.id for r in spark.read.format("flatgeobuf").load(path).collect()) == [0, 1]
+
+
+def test_flatgeobuf_columns_of_features(spark, tmp_path):
+    """A header without columns: features bring their own."""
+    import struct
+
+    flatgeobuf.register(spark)
+    f = flatgeobuf
+    body = f.MAGIC + f.Header([], 1, False, False, 0, 0).pack()
+    for i, columns in enumerate(([("id", 5), ("name", 11)], [("name", 11)], [])):
+        props = b"".join(struct.pack("<H", k) + (struct.pack("<i", i) if kind == 5 else struct.pack("<I", 2) + b"n%d" % i) for k, (_, kind) in enumerate(columns))
+        fields = {0: f._Ref(one=f._pack_geometry(wkt.parse(f"POINT({i} 2)"))), 1: f._Ref(props, len(props), 1), 2: f._Ref(tables=[{0: f._string(n), 1: ("B", t)} for n, t in columns])}
+        feature = f._Writer().finish(fields)
+        body += struct.pack("<I", len(feature)) + feature
+    (tmp_path / "h.fgb").write_bytes(body)
+    df = spark.read.format("flatgeobuf").load(f"{tmp_path}/h.fgb")
+    got = {(r.id, r.name, wkt.format(wkb.read(bytes(r.geometry)))) for r in df.collect()}
+    assert got == {(0, "n0", "POINT(0 2)"), (None, "n1", "POINT(1 2)"), (None, None, "POINT(2 2)")}
+
+
+def test_geoparquet_keeps_a_column_named_bbox_and_older_files(spark, tmp_path):
+    path = f"file://{tmp_path}/b"
+    with pytest.raises(ValueError):
+        geoparquet.write(table(spark).withColumn("bbox", C.F.lit(1)), path)
+    geoparquet.write(table(spark), path)
+    old = {f: (tmp_path / "b" / f.rpartition("/")[2]).stat().st_mtime_ns for f in geoparquet.read(spark, path).inputFiles()}
+    geoparquet.write(table(spark), path, mode="append")
+    assert geoparquet.read(spark, path).count() == 2 * len(CASES)
+    assert all((tmp_path / "b" / f.rpartition("/")[2]).stat().st_mtime_ns == t for f, t in old.items())
