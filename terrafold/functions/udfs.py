@@ -159,6 +159,54 @@ def _centroid(column: pa.Array) -> pa.Array:
     return wkb.points_to_wkb([out[:, 0], out[:, 1]], 0, valid)
 
 
+def _by_arrays(kernel: Callable, slow: Callable) -> Callable:
+    """WKB columns by a kernel that gives values for a group's rows, other columns by a function for each geometry."""
+
+    def run(column: pa.Array, *more) -> pa.Array:
+        column = _one(column)
+        if not (pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)):
+            return slow(column, *more)
+        return wkb.place([part for g in wkb.groups(column) for part in kernel(g, *map(_one, more))], len(column))
+
+    return run
+
+
+def _vertices(g: wkb.Group, rows: np.ndarray, xyz: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    return rows, wkb.records(wkb.head(wkb.POINT, g.dims), xyz)
+
+
+def _end_arrays(last: bool) -> Callable:
+    def run(g: wkb.Group) -> list:
+        return [_vertices(g, g.rows, g.xyz[:, -1 if last else 0])] if g.kind == wkb.LINE and g.xyz.shape[1] else []
+
+    return run
+
+
+def _point_n_arrays(g: wkb.Group, numbers: pa.Array) -> list:
+    size = g.xyz.shape[1]
+    if g.kind != wkb.LINE or not size:
+        return []
+    n = numbers.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)[g.rows]
+    ok = np.flatnonzero((n != 0) & (np.abs(n) <= size))
+    n = n[ok]
+    return [_vertices(g, g.rows[ok], g.xyz[ok, np.where(n > 0, n - 1, size + n)])]
+
+
+def _envelope_arrays(g: wkb.Group) -> list:
+    if not g.xyz.shape[1]:
+        return [(g.rows, pa.array([wkb.write(g.sample)] * len(g.rows), pa.binary()))]
+    x0, y0, x1, y1 = kernels.bounds(g)[:, [0, 1, 3, 4]].T
+    point, flat = (x0 == x1) & (y0 == y1), (x0 == x1) ^ (y0 == y1)
+    out = []
+    for own, head, corners in (
+        (point, wkb.head(wkb.POINT, 0), (x0, y0)),
+        (flat, wkb.head(wkb.LINE, 0, 2), (x0, y0, x1, y1)),
+        (~point & ~flat, wkb.head(wkb.POLYGON, 0, 1, 5), (x0, y0, x0, y1, x1, y1, x1, y0, x0, y0)),
+    ):
+        out.append((g.rows[own], wkb.records(head, np.stack(corners, axis=1)[own])))
+    return out
+
+
 def _end(last: bool) -> Callable:
     def run(g: wkb.Geometry) -> wkb.Geometry | None:
         if g[0] != wkb.LINE or not len(g[2]):
@@ -365,9 +413,9 @@ TABLE: dict[str, tuple[Callable, object, int, int]] = {
     "st_isclosed": (_grouped(kernels.is_closed, "boolean", lambda *b: [None if v is None else False for v in b[0]]), BooleanType(), 1, 1),
     "st_isempty": (_grouped(kernels.is_empty, "boolean"), BooleanType(), 1, 1),
     "st_dump": (_dump, DUMP, 1, 1),
-    "st_startpoint": (_each(_end(False), "binary"), BinaryType(), 1, 1),
-    "st_endpoint": (_each(_end(True), "binary"), BinaryType(), 1, 1),
-    "st_pointn": (_each(_point_n, "binary"), BinaryType(), 2, 2),
+    "st_startpoint": (_by_arrays(_end_arrays(False), _each(_end(False), "binary")), BinaryType(), 1, 1),
+    "st_endpoint": (_by_arrays(_end_arrays(True), _each(_end(True), "binary")), BinaryType(), 1, 1),
+    "st_pointn": (_by_arrays(_point_n_arrays, _each(_point_n, "binary")), BinaryType(), 2, 2),
     "st_npoints": (_grouped(kernels.n_points, "int", lambda *b: [None if v is None else 4 for v in b[0]]), IntegerType(), 1, 1),
     "st_numinteriorrings": (_grouped(kernels.n_interior_rings, "int"), IntegerType(), 1, 1),
     "st_x": (_grouped(kernels.ordinate("x"), "double"), DoubleType(), 1, 1),
@@ -385,7 +433,7 @@ TABLE: dict[str, tuple[Callable, object, int, int]] = {
     "st_makebox2d": (_corners(2), BOX, 2, 2),
     "st_3dmakebox": (_corners(3), BOX3, 2, 2),
     "st_expand": (_expand, BOX, 2, 3),
-    "st_envelope": (_each(shapes.envelope, "binary"), BinaryType(), 1, 1),
+    "st_envelope": (_by_arrays(_envelope_arrays, _each(shapes.envelope, "binary")), BinaryType(), 1, 1),
     "st_geomfromtext": (_from_text, BinaryType(), 1, 1),
     "st_astext": (_each(wkt.format, "string"), StringType(), 1, 1),
     "st_geomfromwkb": (_binary, BinaryType(), 1, 1),

@@ -80,6 +80,11 @@ def read(b: bytes) -> Geometry:
     return geom
 
 
+def head(kind: int, dims: int, *counts: int) -> bytes:
+    """Byte order, type and counts, as they come before the numbers of a point, a line or a polygon of one ring."""
+    return struct.pack(f"<BI{len(counts)}I", 1, kind + 1000 * dims, *counts)
+
+
 def write(g: Geometry) -> bytes:
     """Little-endian ISO WKB."""
     kind, dims, data = g
@@ -350,3 +355,22 @@ def points_to_wkb(columns: list[np.ndarray], dims: int, valid: np.ndarray) -> pa
     out[:, 5:] = np.ascontiguousarray(xyz).view(np.uint8).reshape(len(valid), 8 * d)
     fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(out.shape[1]), len(valid), [pa.array(valid).buffers()[1], pa.py_buffer(out.tobytes())]) if len(valid) else pa.array([], pa.binary(out.shape[1]))
     return fixed.cast(pa.binary())
+
+
+def records(head: bytes, xyz: np.ndarray) -> pa.Array:
+    """A value for each row of (rows, points, d): the head, which is the same for all, and the row's numbers."""
+    body = np.ascontiguousarray(xyz, dtype="<f8").reshape(len(xyz), int(np.prod(xyz.shape[1:]))).view(np.uint8)
+    out = np.concatenate([np.broadcast_to(np.frombuffer(head, dtype=np.uint8), (len(xyz), len(head))), body], axis=1)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(out.shape[1]), len(xyz), [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
+
+
+def place(parts: list[tuple[np.ndarray, pa.Array]], size: int) -> pa.Array:
+    """A column of values that are given with their rows; the other rows are null."""
+    parts = [(rows, values) for rows, values in parts if len(rows)]
+    if not parts:
+        return pa.nulls(size, pa.binary())
+    at, given, n = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=bool), 0
+    for rows, values in parts:
+        at[rows], given[rows] = n + np.arange(len(rows)), True
+        n += len(rows)
+    return pa.concat_arrays([values for _, values in parts]).take(pa.array(at, mask=~given))

@@ -8,6 +8,8 @@ at most two cells each way, so that no box has many cells; two boxes meet on the
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,21 +41,35 @@ def spatial_filter(df: DataFrame, geom: str, constant: str, relation: str = "int
     return df.where(getattr(C, f"st_{relation}")(F.col(geom), C.literal(constant)))
 
 
-def _cells(df: DataFrame, box: Column, size: float, grow: float = 0.0) -> DataFrame:
-    """df with its box and level, the first on which the box spans at most two cells each way."""
+def _boxed(df: DataFrame, box: Column, grow: float = 0.0) -> DataFrame:
+    """df with its box and its width's binary exponent (the least for points); rows without a box go."""
     b = C.st_expand(box, grow) if grow else box
     df = df.withColumn(f"{_P}box", b).where(F.col(f"{_P}box").isNotNull())
     b = F.col(f"{_P}box")
-    wide = F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"], F.lit(size * 1e-9))
-    level = F.least(F.greatest(F.ceil(F.log(wide / size) / F.log(F.lit(STEP))), F.lit(0)), F.lit(LEVELS)).cast("int")
-    return df.withColumn(f"{_P}level", level)
+    exponent = F.ceil(F.log2(F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"])))
+    return df.withColumn(f"{_P}wide", F.least(F.greatest(exponent, F.lit(-1100)), F.lit(1100)).cast("int"))
+
+
+def _level(exponent: Column, size: float) -> Column:
+    """The first level on which a box of that exponent spans at most two cells each way."""
+    up = F.ceil((exponent - F.lit(math.log2(size))) / F.lit(math.log2(STEP))).cast("int")
+    return F.least(F.greatest(up, F.lit(0)), F.lit(LEVELS))
 
 
-def cell_size(df: DataFrame, box: Column) -> float:
-    """The mean width or height of the boxes, whichever is larger: one small aggregate."""
-    r = df.select(F.avg(box["xmax"] - box["xmin"]).alias("w"), F.avg(box["ymax"] - box["ymin"]).alias("h"), F.min(box["xmin"]).alias("a"), F.max(box["xmax"]).alias("b")).first()
+def _grid(a: DataFrame, b: DataFrame, cell: float | None) -> tuple[float, list[int]]:
+    """The least cells' width and the levels in use, from one aggregate over both sides' boxes.
+
+    The width is the mean width or height of b's boxes, whichever is larger; exponents are at most some 2,100 numbers.
+    """
+    box = F.col(f"{_P}box")
+    side = lambda df, right: df.select(F.lit(right).alias("right"), (box["xmax"] - box["xmin"]).alias("w"), (box["ymax"] - box["ymin"]).alias("h"), box["xmin"].alias("x0"), box["xmax"].alias("x1"), F.col(f"{_P}wide").alias("e"))
+    mine = lambda c: F.when(F.col("right"), F.col(c))
+    r = side(a, False).unionAll(side(b, True)).agg(F.avg(mine("w")).alias("w"), F.avg(mine("h")).alias("h"), F.min(mine("x0")).alias("a"), F.max(mine("x1")).alias("b"), F.collect_set("e").alias("e")).first()
     mean = max(r.w or 0.0, r.h or 0.0)
-    return mean if mean > 0 else max(((r.b or 0.0) - (r.a or 0.0)) / 1024, 1e-9)
+    size = cell or (mean if mean > 0 else max(((r.b or 0.0) - (r.a or 0.0)) / 1024, 1e-9))
+    spark = a.sparkSession
+    found = spark.range(1).select(F.transform(F.array(*[F.lit(e) for e in sorted(r.e)]), lambda e: _level(e, size)).alias("k")).first().k if r.e else []
+    return size, sorted({0, *found})
 
 
 def _prefixed(df: DataFrame, side: str, names: list[str]) -> list[Column]:
@@ -74,10 +90,11 @@ def spatial_join(left: DataFrame, right: DataFrame, left_geom: str, right_geom:
     lb = F.col(left_box) if left_box else C.box2d(left_geom)
     rb = F.col(right_box) if right_box else C.box2d(right_geom)
     pack = lambda df: F.struct(*(F.col(f"`{c}`") for c in df.columns))
-    size = cell or cell_size(right.withColumn(f"{_P}b", rb), F.col(f"{_P}b"))
-    a = _cells(keyed.select(pack(keyed).alias(f"{_P}l"), lb.alias(f"{_P}lb")), F.col(f"{_P}lb"), size, within or 0.0)
-    b = _cells(right.select(pack(right).alias(f"{_P}r"), rb.alias(f"{_P}rb")), F.col(f"{_P}rb"), size)
-    pairs = _meet(a, b, size)
+    a = _boxed(keyed.select(pack(keyed).alias(f"{_P}l"), lb.alias(f"{_P}lb")), F.col(f"{_P}lb"), within or 0.0)
+    b = _boxed(right.select(pack(right).alias(f"{_P}r"), rb.alias(f"{_P}rb")), F.col(f"{_P}rb"))
+    size, levels = _grid(a, b, cell)
+    own = lambda df: df.withColumn(f"{_P}level", _level(F.col(f"{_P}wide"), size)).drop(f"{_P}wide")
+    pairs = _meet(own(a), own(b), size, levels)
     if exact:
         l, r = F.col(f"{_P}l.{left_geom}"), F.col(f"{_P}r.{right_geom}")
         pairs = pairs.where(C.st_distance(l, r) <= within if within is not None else getattr(C, f"st_{relation}")(l, r))
@@ -94,12 +111,10 @@ def spatial_join(left: DataFrame, right: DataFrame, left_geom: str, right_geom:
     raise ValueError(f"how={how!r} is not supported")
 
 
-def _meet(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
+def _meet(a: DataFrame, b: DataFrame, size: float, levels: list[int]) -> DataFrame:
     """Pairs of rows whose boxes meet. Every row has cells on its own level; on the coarser levels in use it has its few cells there."""
-    levels = sorted({r[0] for df in (a, b) for r in df.select(f"{_P}level").distinct().collect()})  # at most LEVELS + 1 numbers
-
     def on_levels(df: DataFrame, side: str) -> DataFrame:
-        up = F.array(*[F.lit(k) for k in levels]) if levels else F.array().cast("array<int>")
+        up = F.array(*[F.lit(k) for k in levels])
         df = df.withColumnRenamed(f"{_P}level", f"{_P}own{side}").withColumnRenamed(f"{_P}box", f"{_P}box{side}")
         df = df.withColumn(f"{_P}level", F.explode(F.filter(up, lambda k: k >= F.col(f"{_P}own{side}"))))
         box, wide = F.col(f"{_P}box{side}"), F.lit(size) * F.pow(F.lit(STEP), F.col(f"{_P}level").cast("double"))
