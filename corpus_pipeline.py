@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from terrafold.llm import neardup, packing, quality, substrings
 from terrafold.llm.queries import PACK_END, tokenizer
-from terrafold.session import discard, made, materialize
+from terrafold.session import discard, made, materialize, shrink_heaps
 
 #: Near-duplicates here are documents whose sets of five-word shingles have a similarity of 0.8 or more.
 SHINGLE = 5
@@ -31,7 +31,10 @@ _HELD: dict[tuple[str, int], list[str]] = {}
 
 
 def stage(fn: Stage) -> Stage:
-    """Deletes what earlier stages left in the shared folder, if docs doesn't read it: then their results are written."""
+    """Deletes what earlier stages left in the shared folder, if docs doesn't read it: then their results are written.
+
+    The heaps that they have grown are shrunk, since what follows has Python workers beside them.
+    """
 
     @functools.wraps(fn)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,6 +43,7 @@ def stage(fn: Stage) -> Stage:
         if held and not any(path.rpartition("/")[2] in file for file in files for path in held):
             discard(spark, held)
             held.clear()
+        shrink_heaps(spark)
         before = len(made())
         out = fn(spark, docs, sf_dir)
         held.extend(made(before))

@@ -16,13 +16,18 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 from terrafold.llm.words import find_words, hash_words, join_texts
 
-CACHE_UNITS, SLICE_BYTES = 1_500_000, 4 << 20
+#: Units and bytes of the cache, text bytes of a slice, and text bytes that the library encodes at once: it has some 100 bytes for an id.
+CACHE_UNITS, CACHE_BYTES, SLICE_BYTES, BLOCK_BYTES = 400_000, 24 << 20, 4 << 20, 1 << 18
+#: Bytes of a unit in the cache besides its ids.
+UNIT_BYTES = 37
+#: A unit that came again in a later slice stays as long as one that was used so many slices after it.
+AGAIN = 64
 #: UTF-8 of white space beyond ASCII, and of the ASCII separators 1C-1F.
 _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
@@ -39,6 +44,20 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
 
 
+def _blocks(units: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """The units in lists of about BLOCK_BYTES."""
+    held: list[bytes] = []
+    size = 0
+    for u in units:
+        held.append(u)
+        size += len(u) + 16
+        if size >= BLOCK_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 class Encoder:
     """ids of texts as unsigned 32-bit arrays."""
 
@@ -58,19 +77,21 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.edge[[i for t, i in vocabulary.items() if (t.endswith("</w>") if drops_space else t.startswith("\u0120"))]] = True
-        self._keep(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int32))
+        self._keep(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, bool))
 
-    def _keep(self, key: np.ndarray, check: np.ndarray, size: np.ndarray, ids: np.ndarray, used: np.ndarray) -> None:
-        self.key, self.check, self.size, self.ids, self.used = key, check, size, ids, used
+    def _keep(self, key: np.ndarray, check: np.ndarray, size: np.ndarray, ids: np.ndarray, used: np.ndarray, again: np.ndarray) -> None:
+        self.key, self.check, self.size, self.ids, self.used, self.again = key, check, size, ids, used, again
         self.start = np.cumsum(size) - size
 
     def _select(self, rows: np.ndarray) -> None:
         ids = self.ids[_ranges(self.start[rows], self.size[rows])]
-        self._keep(self.key[rows], self.check[rows], self.size[rows], ids, self.used[rows])
+        self._keep(self.key[rows], self.check[rows], self.size[rows], ids, self.used[rows], self.again[rows])
+
+    def _encode(self, units: list[bytes]) -> list[np.ndarray]:
+        return [ids for block in _blocks(units) for ids in self._library([u.decode("utf-8", "replace") for u in block])]
 
-    def _encode(self, units: list[bytes]) -> list[list[int]]:
-        got = self.tokenizer.encode_batch_fast([u.decode("utf-8", "replace") for u in units], add_special_tokens=False)
-        return [e.ids for e in got]
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _plain(self, group: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """Sizes and ids of units encoded as one text. A word's last id ends a word, a spaced unit's first id has the space."""
@@ -85,8 +106,12 @@ class Encoder:
             return None
         return np.diff(np.append(mark, len(ids))), ids
 
-    def _units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _units(self, units: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and ids, one after the other, of all units."""
+        sizes, ids = zip(*map(self._block, _blocks(units)), strict=True)
+        return np.concatenate(sizes), np.concatenate(ids)
+
+    def _block(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [u.decode("utf-8", "replace") for u in units]
         match = (_WORD if self.drops_space else _SPACED).fullmatch
         easy = np.array([match(t) is not None for t in texts])
@@ -103,27 +128,31 @@ class Encoder:
             sizes.append(got[0])
             ids.append(got[1])
         if rest:
-            new = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)]
+            new = self._library([texts[i] for i in rest])
             order += rest
             sizes.append(np.array([len(x) for x in new], dtype=np.int64))
-            ids.append(np.fromiter((i for x in new for i in x), dtype=np.uint32, count=int(sizes[-1].sum())))
+            ids.append(np.concatenate(new))
         size, flat = np.concatenate(sizes), np.concatenate(ids)
         back = np.argsort(np.array(order), kind="stable")
         return size[back], flat[_ranges((np.cumsum(size) - size)[back], size[back])]
 
-    def _add(self, key: np.ndarray, check: np.ndarray, units: list[bytes]) -> None:
+    def _add(self, key: np.ndarray, check: np.ndarray, units: Iterable[bytes]) -> None:
         """key is sorted and none of it is in the cache."""
-        if len(self.key) + len(key) > CACHE_UNITS and len(self.key):
-            needed = int((self.used == self.clock).sum())  # units of this slice stay in any case
-            recent = np.argsort(-self.used, kind="stable")[: max(CACHE_UNITS // 2, needed)]
-            self._select(np.sort(recent))
         sizes, flat = self._units(units)
+        held = UNIT_BYTES * (len(self.key) + len(key)) + 4 * (len(self.ids) + len(flat))
+        if (len(self.key) + len(key) > CACHE_UNITS or held > CACHE_BYTES) and len(self.key):
+            needed = int((self.used == self.clock).sum())  # units of this slice stay in any case
+            rank = np.where(self.used == self.clock, np.iinfo(np.int32).max, self.used + AGAIN * self.again)
+            recent = np.argsort(-rank, kind="stable")
+            fit = int(np.searchsorted(np.cumsum(UNIT_BYTES + 4 * self.size[recent]), CACHE_BYTES // 2, "right"))
+            self._select(np.sort(recent[: max(min(CACHE_UNITS // 2, fit), needed)]))
         order = np.argsort(np.concatenate([self.key, key]), kind="stable")
         size = np.concatenate([self.size, sizes])
         start = np.concatenate([self.start, np.cumsum(sizes) - sizes + len(self.ids)])
         ids = np.concatenate([self.ids, flat])[_ranges(start[order], size[order])]
         used = np.concatenate([self.used, np.full(len(key), self.clock, np.int32)])
-        self._keep(np.concatenate([self.key, key])[order], np.concatenate([self.check, check])[order], size[order], ids, used[order])
+        again = np.concatenate([self.again, np.zeros(len(key), bool)])
+        self._keep(np.concatenate([self.key, key])[order], np.concatenate([self.check, check])[order], size[order], ids, used[order], again[order])
 
     def _slice(self, texts: list[bytes | None]) -> list[np.ndarray]:
         self.clock += 1
@@ -143,12 +172,12 @@ class Encoder:
         hashes, checks = hash_words(data, starts, ends), hash_words(data, starts, ends, 0x7F4A7C15)
         keys, one, where = np.unique(hashes, return_index=True, return_inverse=True)
         if not np.array_equal(checks[one][where], checks):  # two units of one hash: take the long way
-            return [np.array(x, dtype=np.uint32) for x in self._encode([t or b"" for t in texts])]
+            return self._encode([t or b"" for t in texts])
         spot = np.searchsorted(self.key, keys).clip(0, max(len(self.key) - 1, 0))
         same = self.key[spot] == keys if len(self.key) else np.zeros(len(keys), dtype=bool)
         known = same.copy()
         known[same] = self.check[spot[same]] == checks[one[same]]
-        self.used[spot[known]] = self.clock
+        self.used[spot[known]], self.again[spot[known]] = self.clock, True
         if not known.all():
             raw = data.tobytes()
             new = one[~known]
@@ -157,7 +186,8 @@ class Encoder:
                 stay = np.ones(len(self.key), dtype=bool)
                 stay[spot[clash]] = False
                 self._select(np.flatnonzero(stay))
-            self._add(keys[~known], checks[new], [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            self._add(keys[~known], checks[new], (raw[a:b] for a, b in zip(starts[new], ends[new], strict=True)))
+            del raw
             spot = np.searchsorted(self.key, keys)
         size = self.size[spot][where]
         ids = self.ids[_ranges(self.start[spot][where], size)]
@@ -181,7 +211,7 @@ class Encoder:
             if odd:
                 texts = [*whole.values(), *(pieces[k - len(held)] for k in odd[len(whole) :])]
                 for i, ids in zip(odd, self._encode(texts), strict=True):
-                    got[i] = np.array(ids, dtype=np.uint32)
+                    got[i] = ids
             rest = iter(got[len(held) :])
             for i, parts in cuts.items():
                 ids = [np.array([self.added[x]], dtype=np.uint32) if k % 2 else next(rest) for k, x in enumerate(parts)]

@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ARROW_BYTES = 4 << 20
 _ARROW_LIMIT, _ARROW_DEFAULTS = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64MB", "64m", "9223372036854775807b")
@@ -36,6 +37,16 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Have the executors collect their heaps, which gives memory that holds garbage only back to the system.
+
+    A heap that sorts and aggregates have grown stays large while Python workers do the work; both count as the
+    executor's memory. A task for each core: where other work has the cores, an executor may be left out.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("done")).collect()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; local sessions without one get a temporary folder."""
     sc = spark.sparkContext

@@ -345,3 +345,12 @@ def near_step(rows):
 def passage_step(rows):
     gone = {i: (n, kept) for i, _, n, kept in text_brute.removed(13, rows)}
     return sorted((i, gone[i][1] if gone[i][0] else t) for i, t in rows)
+
+
+def test_stages_shrink_the_heaps_first(spark, docs):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    corpus_pipeline.quality_rules(spark, docs, "")
+    assert full() > before

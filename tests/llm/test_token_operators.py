@@ -46,6 +46,24 @@ def test_cached_units_give_the_library_s_ids(monkeypatch, path, drops, cache):
         assert got == direct(path)
 
 
+@pytest.mark.parametrize(("path", "drops"), [(WORD, True), (BYTE, False)])
+def test_cached_units_are_bounded_in_bytes(monkeypatch, path, drops):
+    from random import Random
+
+    from terrafold.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 1 << 20, raising=False)
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 20_000)
+    r = Random(3)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=300))
+    texts = ["common words " + " ".join(word() for _ in range(60)) for _ in range(100)]
+    e = Encoder(path, drops)
+    want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        assert [x.tolist() for x in e.encode([t.encode() for t in texts])] == want
+        assert sum(x.nbytes for x in (e.key, e.check, e.size, e.start, e.ids, e.used)) < 5 << 18
+
+
 def test_packing(docs, empty):
     rows = packing.pack(docs, WORD, length=256).collect()
     want = Counter()
