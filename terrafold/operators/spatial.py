@@ -2,7 +2,7 @@
 
 Joins deal boxes to grid cells and meet by cell: an equi-join that Catalyst can shuffle, split and spill. A pair is
 kept in one cell only, the one that holds the lower left corner of the boxes' common part, so no distinct
-follows. Grids come in levels, each STEP times as wide as the one below. A box has the first level on which it spans
+follows. Cells hold distinct geometries; the rows that have them are joined to the pairs. Grids come in levels, each STEP times as wide as the one below. A box has the first level on which it spans
 at most two cells each way, so that no box has many cells; two boxes meet on the coarser of their levels.
 """
 
@@ -20,6 +20,8 @@ from terrafold.session import materialize, ship
 
 #: A level's cells are this many times as wide as those of the level below.
 STEP, LEVELS = 8.0, 12
+#: Pairs of rows in a part of a join.
+_PART = 1_000_000
 _P = "__sj_"
 
 
@@ -72,8 +74,38 @@ def _grid(a: DataFrame, b: DataFrame, cell: float | None) -> tuple[float, list[i
     return size, sorted({0, *found})
 
 
-def _prefixed(df: DataFrame, side: str, names: list[str]) -> list[Column]:
-    return [F.col(f"{_P}{side}.{n}").alias(n) for n in names]
+def _repeatable(df: DataFrame) -> bool:
+    """Whether every reading of df gives the same rows, as far as its plan tells."""
+    plain = {"Project", "Filter", "SubqueryAlias", "View", "Range", "LocalRelation", "LogicalRelation", "DataSourceV2Relation", "LogicalRDD", "Union", "Join", "Generate"}
+
+    def walk(plan) -> bool:
+        below = plan.children()
+        return plan.nodeName().split(" ")[0] in plain and all(walk(below.apply(i)) for i in range(below.size()))
+
+    plan = df._jdf.queryExecution().analyzed()
+    return bool(plan.deterministic()) and walk(plan)
+
+
+def _keyed(df: DataFrame, side: str, geom: str, box: str | None, exact: bool) -> tuple[DataFrame, list[str]]:
+    """df with what a pair is decided by (its geometry, its box or both) as columns of their own, and their names."""
+    own = [box] if box and (not exact or box == geom) else [geom, box] if box else [geom]
+    names = [f"{_P}{side}{i}" for i in range(len(own))]
+    return df.select("*", *(F.col(c).alias(n) for c, n in zip(own, names, strict=True))), names
+
+
+def _same(names: list[str]) -> Column:
+    """Rows of a keyed table and of its distinct keys (their names end with _) that belong together."""
+    out = F.lit(True)
+    for n in names:
+        out = out & F.col(n).eqNullSafe(F.col(f"{n}_"))
+    return out
+
+
+def _shapes(rows: DataFrame, side: str, names: list[str], box: str | None, grow: float) -> DataFrame:
+    """The distinct keys of a table with a number, how many rows have them, and their boxes."""
+    first, last = F.col(f"{names[0]}_"), F.col(f"{names[-1]}_")
+    found = rows.groupBy(*(F.col(n).alias(f"{n}_") for n in names)).agg(F.count(F.lit(1)).alias(f"{_P}n{side}"))
+    return materialize(_boxed(found.withColumn(f"{_P}{side}", F.monotonically_increasing_id()), last if box else C.box2d(first), grow), "shapes")
 
 
 def spatial_join(left: DataFrame, right: DataFrame, left_geom: str, right_geom: str, relation: str = "intersects", how: str = "inner", left_box: str | None = None, right_box: str | None = None, within: float | None = None, cell: float | None = None, exact: bool = True) -> DataFrame:
@@ -81,34 +113,67 @@ def spatial_join(left: DataFrame, right: DataFrame, left_geom: str, right_geom:
 
     left_box and right_box name box struct columns if there are any; exact=False stops at the boxes (right for boxes
     and points). how: inner, left, left_semi or left_anti. Column names of both sides must differ.
+    Pairs are found among distinct geometries, then rows are joined to them: semi and anti joins never make pairs of rows.
     """
     if relation == "disjoint":
         raise ValueError("disjoint pairs can't be found by cells: use an anti join, or a nested loop on purpose")
-    # numbers for the rows must be the same wherever they are read: held in a table
-    keyed = materialize(left.withColumn(f"{_P}id", F.monotonically_increasing_id()), "rows") if how != "inner" else left
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"how={how!r} is not supported")
+    if within is not None and not exact:
+        raise ValueError("a distance join is exact")
     ship(left.sparkSession)
-    lb = F.col(left_box) if left_box else C.box2d(left_geom)
-    rb = F.col(right_box) if right_box else C.box2d(right_geom)
-    pack = lambda df: F.struct(*(F.col(f"`{c}`") for c in df.columns))
-    a = _boxed(keyed.select(pack(keyed).alias(f"{_P}l"), lb.alias(f"{_P}lb")), F.col(f"{_P}lb"), within or 0.0)
-    b = _boxed(right.select(pack(right).alias(f"{_P}r"), rb.alias(f"{_P}rb")), F.col(f"{_P}rb"))
-    size, levels = _grid(a, b, cell)
+    # rows are read more than once: a side that may not come out the same is held in a table
+    held_left, held_right = (df if _repeatable(df) else materialize(df, "rows") for df in (left, right))
+    a, an = _keyed(held_left, "a", left_geom, left_box, exact)
+    b, bn = _keyed(held_right, "b", right_geom, right_box, exact)
+    sa, sb = _shapes(a, "a", an, left_box, within or 0.0), _shapes(b, "b", bn, right_box, 0.0)
+    size, levels = _grid(sa, sb, cell)
     own = lambda df: df.withColumn(f"{_P}level", _level(F.col(f"{_P}wide"), size)).drop(f"{_P}wide")
-    pairs = _meet(own(a), own(b), size, levels)
+    pairs = _meet(own(sa), own(sb), size, levels)
     if exact:
-        l, r = F.col(f"{_P}l.{left_geom}"), F.col(f"{_P}r.{right_geom}")
+        l, r = F.col(f"{an[0]}_"), F.col(f"{bn[0]}_")
         pairs = pairs.where(C.st_distance(l, r) <= within if within is not None else getattr(C, f"st_{relation}")(l, r))
-    elif within is not None:
-        raise ValueError("a distance join is exact")
-    if how == "inner":
-        return pairs.select(*_prefixed(left, "l", left.columns), *_prefixed(right, "r", right.columns))
+    pairs = materialize(pairs.select(*(f"{_P}{c}" for c in ("a", "b", "na", "nb"))), "pairs")
     if how in ("left_semi", "left_anti"):
-        ids = pairs.select(F.col(f"{_P}l.{_P}id").alias(f"{_P}id")).distinct()
-        return keyed.join(ids, f"{_P}id", how).drop(f"{_P}id")
-    if how == "left":
-        found = pairs.select(F.col(f"{_P}l.{_P}id").alias(f"{_P}id"), *_prefixed(right, "r", right.columns))
-        return keyed.join(found, f"{_P}id", "left").drop(f"{_P}id")
-    raise ValueError(f"how={how!r} is not supported")
+        return _having(a, sa, an, pairs, how).select(*left.columns)
+    met = _rows(a, sa, an, b, sb, bn, pairs).select(*left.columns, *right.columns)
+    if how == "inner":
+        return met
+    alone = _having(a, sa, an, pairs, "left_anti").select(*left.columns, *(F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema))
+    return met.unionAll(alone)
+
+
+def _having(rows: DataFrame, shapes: DataFrame, names: list[str], pairs: DataFrame, how: str) -> DataFrame:
+    """Left rows with (left_semi) or without (left_anti) a pair."""
+    return rows.join(shapes.join(pairs.select(f"{_P}a").distinct(), f"{_P}a").select(*(f"{n}_" for n in names)), _same(names), how)
+
+
+def _rows(a: DataFrame, sa: DataFrame, an: list[str], b: DataFrame, sb: DataFrame, bn: list[str], pairs: DataFrame) -> DataFrame:
+    """Pairs of rows from pairs of distinct geometries.
+
+    The rows of a right geometry meet in a part of their own. Where there would be more than _PART pairs of rows, its left
+    rows go to so many parts (1,000 in each at least) and then its right rows, and the other side is repeated for them.
+    """
+    na, nb = F.col(f"{_P}na"), F.col(f"{_P}nb")
+    total = pairs.agg(F.sum(na.cast("double") * nb)).first()[0] or 0.0
+    # tables are small against what their join gives, so the number of tasks comes from the latter
+    tasks = int(min(max(total / _PART, min(total / 1e5, a.sparkSession.sparkContext.defaultParallelism)), 20_000)) + 1
+    many = lambda c: F.greatest(F.ceil(c), F.lit(1)).cast("int")
+    split = pairs.groupBy(f"{_P}b").agg(F.sum(na).alias(f"{_P}all"), F.first(nb).alias(f"{_P}nb"))
+    parts = F.col(f"{_P}all").cast("double") * F.col(f"{_P}nb") / _PART
+    split = split.withColumn(f"{_P}sa", many(F.least(parts, F.col(f"{_P}all") / 1000))).withColumn(f"{_P}sb", many(parts / F.col(f"{_P}sa"))).select(*(f"{_P}{c}" for c in ("b", "sa", "sb")))
+    mates = sa.select(f"{_P}a", *(f"{n}_" for n in an)).join(pairs.select(f"{_P}a", f"{_P}b"), f"{_P}a").join(split, f"{_P}b").drop(f"{_P}a")
+
+    def deal(rows: DataFrame, shapes: DataFrame, names: list[str], mine: str, other: str) -> DataFrame:
+        known = [f.name for f in rows.schema if f.name not in names and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+        draw = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in known)), F.col(f"{_P}{mine}").cast("long")).cast("int") if known else F.lit(0)
+        out = rows.join(shapes, _same(names)).drop(*names, *(f"{n}_" for n in names))
+        return out.withColumn(f"{_P}{mine}", draw).withColumn(f"{_P}{other}", F.explode(F.sequence(F.lit(0), F.col(f"{_P}{other}") - 1)))
+
+    keys = [f"{_P}b", f"{_P}sa", f"{_P}sb"]
+    x = deal(a, mates, an, "sa", "sb").repartition(tasks, *keys)
+    y = deal(b, sb.select(f"{_P}b", *(f"{n}_" for n in bn)).join(split, f"{_P}b"), bn, "sb", "sa").repartition(tasks, *keys)
+    return x.join(y, keys)
 
 
 def _meet(a: DataFrame, b: DataFrame, size: float, levels: list[int]) -> DataFrame:

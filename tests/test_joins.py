@@ -99,3 +99,36 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = [(r.n, tuple(r.extent)) for r in spark.table("extents").orderBy("start").collect()]
     assert got == [(2, (1.0, -1.0, 5.0, 2.0)), (1, (7.0, 7.0, 7.0, 7.0))]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_rows_of_equal_geometry_are_joined_in_parts(spark, monkeypatch, how):
+    """Distinct geometries meet once, whatever the rows; a pair of many rows is dealt to many tasks' parts."""
+    from terrafold.operators import spatial
+    from terrafold.session import made
+
+    monkeypatch.setattr(spatial, "_PART", 1000)
+    place = lambda c: F.when(F.col(c) % 10 < 7, 0).otherwise(F.col(c) % 10)
+    a = spark.range(300).select(F.col("id").alias("i"), C.st_point(place("id"), place("id")).alias("g"))
+    b = spark.range(200).select(F.col("id").alias("j"), C.st_point(place("id"), F.abs(place("id"))).alias("h")).where("j % 10 != 8")
+    since = len(made())
+    got = spatial_join(a, b, "g", "h", how=how).collect()
+    at = lambda v: 0 if v % 10 < 7 else v % 10
+    pairs = sorted((i, j) for i in range(300) for j in range(200) if j % 10 != 8 and at(i) == at(j))
+    alone = [i for i in range(300) if i % 10 == 8]
+    if how in ("inner", "left"):
+        assert sorted((r.i, -1 if r.j is None else r.j) for r in got) == sorted(pairs + ([(i, -1) for i in alone] if how == "left" else []))
+    else:
+        assert sorted(r.i for r in got) == ([i for i, _ in {p[0]: p for p in pairs}.items()] if how == "left_semi" else alone)
+    found = [p for p in made(since) if "/pairs-" in p]
+    assert spark.read.parquet(*found).count() == 3
+
+
+def test_sides_that_may_change_are_held(spark):
+    from terrafold.operators import spatial
+
+    p = spark.range(50).select("id", C.st_point("id", "id").alias("g"))
+    assert spatial._repeatable(p) and not spatial._repeatable(p.where(F.rand() < 0.5)) and not spatial._repeatable(p.limit(5))
+    a, b = p.where(F.rand() < 0.5), p.select(F.col("id").alias("j"), F.col("g").alias("h"))
+    inner, anti = spatial_join(a, b, "g", "h"), spatial_join(a, b, "g", "h", how="left_anti")
+    assert inner.count() == inner.where("id = j").count() and anti.count() == 0
