@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from terrafold.functions import kernels, relate, shapes, wkb, wkt
+from terrafold.functions import alike, kernels, relate, shapes, wkb, wkt
 
 BOX = StructType([StructField(n, DoubleType()) for n in ("xmin", "ymin", "xmax", "ymax")])
 BOX3 = StructType([StructField(n, DoubleType()) for n in ("xmin", "ymin", "zmin", "xmax", "ymax", "zmax")])
@@ -92,6 +93,87 @@ def _each(fn: Callable, kind: str) -> Callable:
     return run
 
 
+def _as_wkb(column: pa.Array) -> pa.Array:
+    """Any accepted form as WKB; WKB as it is."""
+    t = column.type
+    if pa.types.is_binary(t) or pa.types.is_large_binary(t):
+        return column
+    if pa.types.is_string(t) or pa.types.is_large_string(t):
+        return _from_text(column)
+    return wkb.boxes_to_wkb(column) if _is_box(t) and len(column) else _binary(column)
+
+
+def _groups(column: pa.Array) -> list[wkb.Group]:
+    """A WKB column's groups; none if a geometry's parts differ in dimensions."""
+    try:
+        return list(wkb.groups(column))
+    except ValueError:
+        return []
+
+
+def _by_class(fn: Callable, kind: str, signs: Callable, spread: Callable | None = None) -> Callable:
+    """_each for WKB in few layouts: the function runs once for each class of rows that it treats alike (see alike).
+
+    spread(value, xy, group) gives the values of a class's rows from its first row's, or nothing; without it they are equal.
+    """
+    slow = _each(fn, kind)
+
+    def run(column: pa.Array, *more) -> pa.Array:
+        column, more = _as_wkb(_one(column)), [_one(c) for c in more]
+        numbers = [_doubles(c) for c in more]
+        live = np.asarray(column.is_valid())
+        for _, valid in numbers:
+            live = live & valid
+        left, parts = live.copy(), []
+        for g in _groups(column):
+            own = np.flatnonzero(live[g.rows] & np.isfinite(g.xyz).all(axis=(1, 2)))
+            if len(own) < alike.FEW or not g.xyz.shape[1]:
+                continue
+            part = wkb.Group(g.rows[own], g.kind, g.dims, g.leaves, g.top, g.xyz[own], g.sample)
+            found = signs(part, *(values[part.rows] for values, _ in numbers))
+            if found is None:
+                continue
+            ok = np.flatnonzero(found[0])
+            for at in alike.classes([s[ok] for s in found[1]]) if len(ok) else []:
+                if len(at) < 2:
+                    continue
+                at = ok[at]
+                value = fn(wkb.fill(part, part.xyz[at[0]]), *(float(values[part.rows[at[0]]]) for values, _ in numbers))
+                xy = part.xyz[at][:, :, :2]
+                got = _same_values(value, len(at), kind) if spread is None else spread(value, xy, part)
+                if got is not None:
+                    parts.append((part.rows[at], got))
+                    left[part.rows[at]] = False
+        rest = np.flatnonzero(left)
+        if len(rest):
+            parts.append((rest, slow(column.take(pa.array(rest)), *(c.take(pa.array(rest)) for c in more))))
+        return wkb.place(parts, len(column), _ARROW[kind])
+
+    return run
+
+
+def _same_values(value, n: int, kind: str) -> pa.Array:
+    return pa.array([value] * n, _ARROW[kind])
+
+
+def _vertices_of(value: wkb.Geometry, xy: np.ndarray, g: wkb.Group) -> pa.Array | None:
+    """A geometry whose vertices are those of its argument."""
+    places = alike.Places(xy, value)
+    return places.values if places.known else None
+
+
+def _reasons(value: str, xy: np.ndarray, g: wkb.Group) -> pa.Array | None:
+    """Reasons with a class's words and each row's point."""
+    if "[" not in value:
+        return _same_values(value, len(xy), "string")
+    why = relate.invalid_point(wkb.fill(g, np.concatenate([xy[0], np.zeros((xy.shape[1], wkb.WIDTH[g.dims] - 2))], axis=1)))
+    at = alike.meeting(xy, g, why[1]) if why[1] is not None else None
+    if at is None or np.isnan(at).any():
+        return None
+    text = wkt.numbers(at)
+    return pa.array([f"{why[0]}[{x} {y}]" for x, y in text.tolist()], pa.string())
+
+
 def _bounds(names: tuple[str, ...], picks: tuple[int, ...]) -> Callable:
     def run(column: pa.Array) -> pa.Array:
         column = _one(column)
@@ -261,7 +343,7 @@ def _plain_points(column: pa.Array) -> np.ndarray | None:
 
 
 def _relation(name: str) -> Callable:
-    """A predicate on two columns. A constant side is taken apart once, and point columns skip those outside its box."""
+    """A predicate on two columns. A constant side is taken apart once, point columns skip those outside its box, and rows of equal layouts go by classes."""
 
     def run(left: pa.Array, right: pa.Array) -> pa.Array:
         left, right = _one(left), _one(right)
@@ -284,6 +366,32 @@ def _relation(name: str) -> Callable:
             out[i] = seen[key]
         return pa.array(out, pa.bool_())
 
+    def by_class(left: pa.Array, right: pa.Array) -> pa.Array:
+        """Rows of equal layouts by classes (see alike), the others one by one."""
+        left, right = _as_wkb(left), _as_wkb(right)
+        live = np.asarray(left.is_valid()) & np.asarray(right.is_valid())
+        one = lambda i: run(left.slice(i, 1), right.slice(i, 1))[0].as_py()
+        ga, gb = _groups(left), _groups(right)
+        at = np.zeros((4, len(left)), dtype=np.int64)
+        for k, groups in ((0, ga), (2, gb)):
+            at[k] = -1
+            for n, g in enumerate(groups):
+                at[k, g.rows], at[k + 1, g.rows] = n, np.arange(len(g.rows))
+        left_over, parts = live.copy(), []
+        both = np.flatnonzero(live & (at[0] >= 0) & (at[2] >= 0))
+        code = at[0, both] * (len(gb) + 1) + at[2, both]
+        by = np.argsort(code, kind="stable")
+        for own in np.split(both[by], np.flatnonzero(np.diff(code[by])) + 1):
+            if len(own) < alike.FEW:
+                continue
+            values, known = alike.relation(name, ga[at[0, own[0]]], gb[at[2, own[0]]], own, at[1, own], at[3, own], one)
+            parts.append((own[known], pa.array(values[known])))
+            left_over[own[known]] = False
+        rest = np.flatnonzero(left_over)
+        if len(rest):
+            parts.append((rest, run(left.take(pa.array(rest)), right.take(pa.array(rest)))))
+        return wkb.place(parts, len(left), pa.bool_())
+
     def fast(left: pa.Array, right: pa.Array) -> pa.Array:
         """Point columns against one polygon: even-odd counting on arrays, boundary cases one by one."""
         left, right = _one(left), _one(right)
@@ -295,7 +403,7 @@ def _relation(name: str) -> Callable:
                 got = _points_in_one(pts, area, rel)
                 if got is not None:
                     return got
-        return run(left, right)
+        return by_class(left, right)
 
     return fast
 
@@ -374,13 +482,45 @@ def _point_from_hash(column: pa.Array) -> pa.Array:
 
 
 def _from_text(column: pa.Array) -> pa.Array:
-    seen: dict[str, bytes] = {}
-    out = []
-    for t in _one(column).to_pylist():
-        if t is not None and t not in seen:
-            seen[t] = wkb.write(wkt.parse(t))
-        out.append(None if t is None else seen[t])
-    return pa.array(out, pa.binary())
+    """Texts that differ in their numbers only are parsed once; numbers go to their places in the WKB."""
+    texts = _one(column)
+    if pa.types.is_null(texts.type):
+        return pa.nulls(len(texts), pa.binary())
+    texts = texts.dictionary_encode()
+    given, distinct = texts.indices, texts.dictionary
+    forms = pc.replace_substring_regex(distinct, pattern=wkt.NUMBER, replacement="#").dictionary_encode()
+    marked = np.asarray(pc.match_substring(distinct, "#"))
+    form = forms.indices.to_numpy(zero_copy_only=False)
+    by = np.argsort(form, kind="stable")
+    parts = []
+    for own in np.split(by, np.flatnonzero(np.diff(form[by])) + 1):
+        if not len(own):
+            continue
+        words = distinct.take(pa.array(own)).to_pylist()
+        g = wkt.parse(words[0])
+        sample = wkb.write(g)
+        numbers = wkt.floats(words)
+        size = int(wkb._mask(g, len(sample)).sum()) // 8
+        if not marked[own].any() and size and len(numbers) == size * len(own):
+            values = wkb.refill(sample, g, numbers.reshape(len(own), size))
+            if values[0].as_py() == sample:
+                parts.append((own, values))
+                continue
+        parts.append((own, pa.array([wkb.write(wkt.parse(t)) for t in words], pa.binary())))
+    return wkb.place(parts, len(distinct)).take(given)
+
+
+def _as_text(column: pa.Array) -> pa.Array:
+    column = _as_wkb(_one(column))
+    out = np.full(len(column), None, dtype=object)
+    groups = _groups(column)
+    if not groups:
+        return _each(wkt.format, "string")(column)
+    for g in groups:
+        form = wkt.format(g.sample, lambda _: "%s")
+        size = g.xyz.shape[1] * g.xyz.shape[2]
+        out[g.rows] = [form % tuple(r) for r in wkt.numbers(g.xyz.reshape(len(g.rows), size)).tolist()] if size else form
+    return pa.array(out.tolist(), pa.string())
 
 
 def _binary(column: pa.Array) -> pa.Array:
@@ -435,23 +575,23 @@ TABLE: dict[str, tuple[Callable, object, int, int]] = {
     "st_expand": (_expand, BOX, 2, 3),
     "st_envelope": (_by_arrays(_envelope_arrays, _each(shapes.envelope, "binary")), BinaryType(), 1, 1),
     "st_geomfromtext": (_from_text, BinaryType(), 1, 1),
-    "st_astext": (_each(wkt.format, "string"), StringType(), 1, 1),
+    "st_astext": (_as_text, StringType(), 1, 1),
     "st_geomfromwkb": (_binary, BinaryType(), 1, 1),
     "st_asbinary": (_binary, BinaryType(), 1, 1),
     "st_area": (_grouped(kernels.area, "double", _area_of_box), DoubleType(), 1, 1),
     "st_distance": (_distance, DoubleType(), 2, 2),
     "st_length": (_grouped(kernels.length, "double"), DoubleType(), 1, 1),
     "st_centroid": (_centroid, BinaryType(), 1, 1),
-    "st_convexhull": (_each(shapes.convex_hull, "binary"), BinaryType(), 1, 1),
-    "st_concavehull": (_each(lambda g, r: shapes.concave_hull(g, float(r)), "binary"), BinaryType(), 2, 2),
+    "st_convexhull": (_by_class(shapes.convex_hull, "binary", alike.all_turns, _vertices_of), BinaryType(), 1, 1),
+    "st_concavehull": (_by_class(lambda g, r: shapes.concave_hull(g, float(r)), "binary", alike.concave_signs, _vertices_of), BinaryType(), 2, 2),
     "st_orientedenvelope": (_each(shapes.oriented_envelope, "binary"), BinaryType(), 1, 1),
     "st_pointonsurface": (_each(shapes.point_on_surface, "binary"), BinaryType(), 1, 1),
-    "st_simplify": (_each(lambda g, t: shapes.simplify(g, float(t)), "binary"), BinaryType(), 2, 2),
+    "st_simplify": (_by_class(lambda g, t: shapes.simplify(g, float(t)), "binary", alike.simplify_signs, _vertices_of), BinaryType(), 2, 2),
     "st_simplifyvw": (_each(lambda g, t: shapes.simplify_vw(g, float(t)), "binary"), BinaryType(), 2, 2),
-    "st_simplifypreservetopology": (_each(lambda g, t: shapes.simplify_preserve(g, float(t)), "binary"), BinaryType(), 2, 2),
+    "st_simplifypreservetopology": (_by_class(lambda g, t: shapes.simplify_preserve(g, float(t)), "binary", alike.preserve_signs, _vertices_of), BinaryType(), 2, 2),
     "st_linemerge": (_line_merge, BinaryType(), 1, 2),
-    "st_isvalid": (_each(lambda g: relate.invalid_reason(g) is None, "boolean"), BooleanType(), 1, 1),
-    "st_isvalidreason": (_each(lambda g: relate.invalid_reason(g) or "Valid Geometry", "string"), StringType(), 1, 1),
+    "st_isvalid": (_by_class(lambda g: relate.invalid_reason(g) is None, "boolean", alike.own_turns), BooleanType(), 1, 1),
+    "st_isvalidreason": (_by_class(lambda g: relate.invalid_reason(g) or "Valid Geometry", "string", alike.own_turns, _reasons), StringType(), 1, 1),
     "st_geohash": (_geohash, StringType(), 1, 1),
     "st_box2dfromgeohash": (_box_from_hash, BOX, 1, 1),
     "st_pointfromgeohash": (_point_from_hash, BinaryType(), 1, 1),

@@ -364,13 +364,43 @@ def records(head: bytes, xyz: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(out.shape[1]), len(xyz), [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
 
 
-def place(parts: list[tuple[np.ndarray, pa.Array]], size: int) -> pa.Array:
+def place(parts: list[tuple[np.ndarray, pa.Array]], size: int, kind: pa.DataType = pa.binary()) -> pa.Array:
     """A column of values that are given with their rows; the other rows are null."""
     parts = [(rows, values) for rows, values in parts if len(rows)]
     if not parts:
-        return pa.nulls(size, pa.binary())
+        return pa.nulls(size, kind)
     at, given, n = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=bool), 0
     for rows, values in parts:
         at[rows], given[rows] = n + np.arange(len(rows)), True
         n += len(rows)
     return pa.concat_arrays([values for _, values in parts]).take(pa.array(at, mask=~given))
+
+
+def refill(sample: bytes, g: Geometry, numbers: np.ndarray) -> pa.Array:
+    """The sample (g's little-endian ISO form) with each row's numbers in the places of its own."""
+    out = np.empty((len(numbers), len(sample)), dtype=np.uint8)
+    out[:] = np.frombuffer(sample, dtype=np.uint8)
+    out[:, _mask(g, len(sample))] = np.ascontiguousarray(numbers, dtype="<f8").view(np.uint8).reshape(len(numbers), 8 * numbers.shape[1])
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(len(sample)), len(numbers), [None, pa.py_buffer(out)]).cast(pa.binary())
+
+
+def fill(g: Group, xyz: np.ndarray) -> Geometry:
+    """A row of a group as a geometry, from its coordinates (points, d)."""
+    at = iter([(lo, hi) for leaf in g.leaves for lo, hi in leaf.rings])
+    take = lambda: xyz[slice(*next(at))]
+
+    def walk(s: Geometry) -> Geometry:
+        kind, dims, data = s
+        return (kind, dims, take() if kind in (POINT, LINE) else [take() for _ in data] if kind == POLYGON else [walk(p) for p in data])
+
+    return walk(g.sample)
+
+
+def boxes_to_wkb(column: pa.Array) -> pa.Array:
+    """Box structs as polygons."""
+    names = ("xmin", "ymin", "xmax", "ymax")
+    ok = np.asarray(column.is_valid())
+    for n in names:
+        ok = ok & np.asarray(column.field(n).is_valid())
+    x0, y0, x1, y1 = (column.field(n).cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False) for n in names)
+    return place([(np.flatnonzero(ok), records(head(POLYGON, 0, 1, 5), np.stack([x0, y0, x0, y1, x1, y1, x1, y0, x0, y0], axis=1)[ok]))], len(column))

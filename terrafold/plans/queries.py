@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from terrafold.functions import columns as C
 from terrafold.functions.registry import register_all
 from terrafold.operators.spatial import distance_join, spatial_filter, spatial_join
-from terrafold.session import fresh_path, ship
+from terrafold.session import fresh_path, ship, spread
 from terrafold.sources import flatgeobuf, geojson, geoparquet
 from terrafold.streaming.extents import windowed_extent
 
@@ -31,7 +31,7 @@ CAST(c_custkey % 16 + 1 AS DOUBLE) / 4 AS w, CAST(c_custkey % 8 + 1 AS DOUBLE) /
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     k = F.col("c_custkey")
-    a = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+    a = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select(k)).select(
         k.alias("k"), (((k * 37) % 23040).cast("double") / 64 - 180).alias("x"), (((k * 53) % 11520).cast("double") / 64 - 90).alias("y"),
         ((k % 16 + 1).cast("double") / 4).alias("w"), ((k % 8 + 1).cast("double") / 4).alias("h"),
     )

@@ -37,6 +37,14 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df's rows over all cores: a small file is one task, however much work its rows are.
+
+    Three tasks a core at least, and as many as the scan has if those are more. Choose columns first: all that df has is shuffled.
+    """
+    return df.repartition(max(3 * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
+
+
 def shrink_heaps(spark: SparkSession) -> None:
     """Have the executors collect their heaps, which gives memory that holds garbage only back to the system.
 
