@@ -2,8 +2,9 @@
 
 Joins deal boxes to grid cells and meet by cell: an equi-join that Catalyst can shuffle, split and spill. A pair is
 kept in one cell only, the one that holds the lower left corner of the boxes' common part, so no distinct
-follows. Cells hold distinct geometries; the rows that have them are joined to the pairs. Grids come in levels, each STEP times as wide as the one below. A box has the first level on which it spans
-at most two cells each way, so that no box has many cells; two boxes meet on the coarser of their levels.
+follows. Cells hold distinct geometries; the rows that have them are joined to the pairs. Grids come in levels,
+each STEP times as wide as the one below. A box has the first level on which it spans at most two cells each way,
+so that no box has many cells; two boxes meet on the coarser of their levels.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def _grid(a: DataFrame, b: DataFrame, cell: float | None) -> tuple[float, list[i
 
 
 def _repeatable(df: DataFrame) -> bool:
-    """Whether every reading of df gives the same rows, as far as its plan tells."""
+    """Whether every reading of df gives the same rows, as far as its plan tells (not aggregates: sums of doubles vary with the order of rows)."""
     plain = {"Project", "Filter", "SubqueryAlias", "View", "Range", "LocalRelation", "LogicalRelation", "DataSourceV2Relation", "LogicalRDD", "Union", "Join", "Generate"}
 
     def walk(plan) -> bool:

@@ -270,10 +270,15 @@ ORACLES["spatial_filter"] = _CTE + "SELECT k FROM b WHERE x >= 0 AND y >= 0 AND
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' points in orders' rectangles: pairs, extent and total area by priority."""
-    pairs = spatial_join(_points(spark, sf_dir), _rects(spark, sf_dir), "g", "rect", left_box="box", right_box="rect", exact=False)
+    """Customers' points in orders' rectangles: pairs, extent and total area by priority.
+
+    Equal rows of a side count as one with a number, so pairs of rows are never made.
+    """
+    points = _points(spark, sf_dir).groupBy("box").agg(F.count(F.lit(1)).alias("n"))
+    rects = _rects(spark, sf_dir).groupBy("priority", "rect").agg(F.count(F.lit(1)).alias("m"))
+    pairs = spatial_join(points, rects, "box", "rect", left_box="box", right_box="rect", exact=False).withColumn("nm", F.col("n") * F.col("m"))
     area = (F.col("rect.xmax") - F.col("rect.xmin")) * (F.col("rect.ymax") - F.col("rect.ymin"))
-    out = pairs.groupBy("priority").agg(F.count(F.lit(1)).alias("pairs"), C.st_extent("box").alias("e"), F.sum(area).alias("area"))
+    out = pairs.groupBy("priority").agg(F.sum("nm").alias("pairs"), C.st_extent("box").alias("e"), F.sum(area * F.col("nm")).alias("area"))
     return out.select("priority", "pairs", "area", "e.*")
 
 

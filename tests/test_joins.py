@@ -132,3 +132,28 @@ def test_sides_that_may_change_are_held(spark):
     a, b = p.where(F.rand() < 0.5), p.select(F.col("id").alias("j"), F.col("g").alias("h"))
     inner, anti = spatial_join(a, b, "g", "h"), spatial_join(a, b, "g", "h", how="left_anti")
     assert inner.count() == inner.where("id = j").count() and anti.count() == 0
+
+
+def test_flagship_counts_rows_alike_without_their_pairs(spark, tmp_path):
+    """9 customers and 16 orders at each place: 144 pairs of rows from one pair of counted rows."""
+    spark.range(0, 9).selectExpr("id * 23040 + 5 AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(0, 16).selectExpr("id * 23040 + 5 AS o_orderkey", "'a' AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    place = 5 * 37 / 64 - 180, 5 * 53 / 64 - 90
+    assert not (5 * 41 / 64 - 180 <= place[0])  # the key's own rectangle is not at its point
+    moved = Q.base(spark, str(tmp_path)).select(F.lit(5 * 41 / 64 - 180).alias("x"), F.lit(5 * 59 / 64 - 90).alias("y"))
+    points = lambda *_: moved.select(C.box2d(C.st_point("x", "y")).alias("box"))
+    before, Q._points = Q._points, points
+    try:
+        out = Q.flagship(spark, str(tmp_path))
+        got, plan = out.collect(), out._jdf.queryExecution().executedPlan()
+    finally:
+        Q._points = before
+    assert [(r.priority, r.pairs, r.area) for r in got] == [("a", 144, 144 * 1.0 * 1.5)]
+    import re
+
+    def joined(node) -> list[int]:
+        below = [node.executedPlan()] if node.nodeName().startswith("AdaptiveSparkPlan") else [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(i) for i in range(node.children().size())]
+        own = [int(node.metrics().apply("numOutputRows").value())] if re.search("Join", node.nodeName()) else []
+        return own + [n for b in below for n in joined(b)]
+
+    assert max(joined(plan)) == 1
